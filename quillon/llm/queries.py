@@ -4,17 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import urlfilter
+from . import maxscore, merkle, secrets, urlfilter
 from .common import read
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(read(spark, sf_dir, "documents"))
+
+
+def op4_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited_twins(read(spark, sf_dir, "documents"))
+
+
+def op7_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.search(read(spark, sf_dir, "embeddings"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(read(spark, sf_dir, "pages"), urlfilter.rules_frame(spark))
 
 
-QUERIES = {"op9_url_filter": op9_url_filter}
+QUERIES = {
+    "op3_secret_scan": op3_secret_scan,
+    "op4_merkle_fingerprint": op4_merkle_fingerprint,
+    "op7_maxscore_top_k": op7_maxscore_top_k,
+    "op9_url_filter": op9_url_filter,
+}
 
 ORACLE = {
+    "op7_maxscore_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+), e AS (
+  SELECT vec_id, unnest(e) AS x, unnest(range(len(e))) AS d FROM v
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, cast(sum(q.x * c.x) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.d = c.d AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 GROUP BY 1, 2
+), r AS (
+  SELECT query_id, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
     "op9_url_filter": r"""
 WITH u AS (
   SELECT page_id, coalesce(url, '') AS url, position('://' IN coalesce(url, '')) AS pos FROM pages
