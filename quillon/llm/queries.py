@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import maxscore, merkle, secrets, urlfilter
+from . import bpe, linededup, maxscore, merkle, minhash, packing, quality, secrets, toxicity, urlfilter
 from .common import read
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(read(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read(spark, sf_dir, "documents"))
 
@@ -16,19 +25,42 @@ def op4_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited_twins(read(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return linededup.dedup(docs.select("doc_id", "text"), counts=True)
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components(read(spark, sf_dir, "documents"), width=4)
+
+
 def op7_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.search(read(spark, sf_dir, "embeddings"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(read(spark, sf_dir, "pages"), urlfilter.rules_frame(spark))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op2_toxicity": op2_toxicity,
     "op3_secret_scan": op3_secret_scan,
     "op4_merkle_fingerprint": op4_merkle_fingerprint,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_near_dedup": op6_near_dedup,
     "op7_maxscore_top_k": op7_maxscore_top_k,
+    "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
+    "op10_packing": op10_packing,
 }
 
 ORACLE = {
