@@ -2,10 +2,12 @@
 
 A document is the sequence of its lines that aren't blank.  A gram starts at a line and takes as few lines as hold ``NOISE`` words.  For every run of
 as few lines as hold ``GUARANTEE`` words, the gram with the least hash that lies inside is selected, so every repeated run of at least that many words
-shares a selected gram, and fewer than ``NOISE`` words never match.  Each gram's first occurrence (by doc_id, then position; a map-side
-combined minimum) is joined to its later ones, so a passage in a third of all documents costs one row for each occurrence and no pairs.  A match is extended line by line both
-ways, and the later run is deleted.  A selected gram carries the hashes of ``CONTEXT`` lines to either side; a repeated run's border is
-never farther from its outermost selected gram, as the guarantee counts in words and each line holds one at least.
+shares a selected gram, and fewer than ``NOISE`` words never match.  A fingerprint's first occurrence (by doc_id, then position; a map-side
+combined minimum) is joined to its later ones, so a passage in a third of all documents costs one row for each occurrence and no pairs.  As the
+first occurrence of a gram may sit in a shorter run than some other earlier one, the windows themselves (the shortest runs with the guarantee, from each line on
+and up to each line) are fingerprints too; where a line holds that many words, gram and windows are one.  So each line of a
+repeated run of ``GUARANTEE`` words is found, whichever earlier copies there are.  A match is extended line by line both ways, over up to ``CONTEXT``
+lines, and the later run is deleted.
 
 Every deleted line has an equal line earlier in the corpus, and the earliest copy of a line is never deleted.
 
@@ -56,7 +58,7 @@ def ends(words: list[int], least: int) -> list[int]:
 
 
 def selected(hashes: list[int], words: list[int], noise: int = NOISE, guarantee: int = GUARANTEE) -> list[tuple[int, int]]:
-    """(first line, gram hash) of the selected grams."""
+    """(first line, line after the last) of the selected grams, and of the shortest runs that hold the guarantee from each line on and up to each line."""
     gram_end, run_end = ends(words, noise), ends(words, guarantee)
     grams = [xxhash.xxh3_64_intdigest(np.array(hashes[s:e], dtype=np.uint64).tobytes()) if e > 0 else None for s, e in enumerate(gram_end)]
     picked = set()
@@ -64,8 +66,11 @@ def selected(hashes: list[int], words: list[int], noise: int = NOISE, guarantee:
         if stop < 0:
             break
         inside = [(grams[s], -s) for s in range(start, stop) if 0 < gram_end[s] <= stop]
-        picked.add(-min(inside)[1])
-    return [(s, grams[s]) for s in sorted(picked)]
+        s = -min(inside)[1]
+        picked |= {(s, gram_end[s]), (start, stop)}
+    n = len(words)
+    picked |= {(n - e, n - s) for s, e in enumerate(ends(words[::-1], guarantee)) if e > 0}
+    return sorted(picked)
 
 
 def signed(h: int) -> int:
@@ -90,9 +95,10 @@ def repeated_runs(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTE
             out = []
             for i, tie, t in zip(b["__id"].tolist(), b["__tie"].tolist(), b["text"].tolist(), strict=True):
                 _, hashes, words = lines_of(t)
-                for s, g in selected(hashes, words, noise, guarantee):
+                h = np.array(hashes, dtype=np.uint64)
+                for s, e in selected(hashes, words, noise, guarantee):
                     low = max(0, s - CONTEXT)
-                    out.append((signed(g), i, tie, s, s - low, np.array(hashes[low : s + CONTEXT + 1], dtype=np.uint64).view(np.int64)))
+                    out.append((signed(xxhash.xxh3_64_intdigest(h[s:e].tobytes())), i, tie, s, s - low, h[low : e + CONTEXT].view(np.int64)))
             yield pd.DataFrame(out, columns=["gram", "__id", "__tie", "line", "off", "near"])
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
