@@ -6,8 +6,8 @@ shares a selected gram, and fewer than ``NOISE`` words never match.  A fingerpri
 combined minimum) is joined to its later ones, so a passage in a third of all documents costs one row for each occurrence and no pairs.  As the
 first occurrence of a gram may sit in a shorter run than some other earlier one, the windows themselves (the shortest runs with the guarantee, from each line on
 and up to each line) are fingerprints too; where a line holds that many words, gram and windows are one.  So each line of a
-repeated run of ``GUARANTEE`` words is found, whichever earlier copies there are.  A match is extended line by line both ways, over up to ``CONTEXT``
-lines, and the later run is deleted.
+repeated run of ``GUARANTEE`` words is found, whichever earlier copies there are.  A match is extended line by line both ways, as far as
+the next ``GUARANTEE`` words, and the later run is deleted.
 
 Every deleted line has an equal line earlier in the corpus, and the earliest copy of a line is never deleted.
 
@@ -30,7 +30,6 @@ from .common import require
 
 NOISE = 20
 GUARANTEE = 40
-CONTEXT = GUARANTEE
 SALTS = 8
 
 
@@ -57,6 +56,11 @@ def ends(words: list[int], least: int) -> list[int]:
     return out
 
 
+def reach(words: list[int], least: int) -> list[int]:
+    """Like :func:`ends`, but the end of the document where the rest is too short."""
+    return [e if e > 0 else len(words) for e in ends(words, least)]
+
+
 def selected(hashes: list[int], words: list[int], noise: int = NOISE, guarantee: int = GUARANTEE) -> list[tuple[int, int]]:
     """(first line, line after the last) of the selected grams, and of the shortest runs that hold the guarantee from each line on and up to each line."""
     gram_end, run_end = ends(words, noise), ends(words, guarantee)
@@ -96,9 +100,10 @@ def repeated_runs(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTE
             for i, tie, t in zip(b["__id"].tolist(), b["__tie"].tolist(), b["text"].tolist(), strict=True):
                 _, hashes, words = lines_of(t)
                 h = np.array(hashes, dtype=np.uint64)
+                before, after = reach(words[::-1], guarantee)[::-1], reach(words, guarantee)
                 for s, e in selected(hashes, words, noise, guarantee):
-                    low = max(0, s - CONTEXT)
-                    out.append((signed(xxhash.xxh3_64_intdigest(h[s:e].tobytes())), i, tie, s, s - low, h[low : e + CONTEXT].view(np.int64)))
+                    low, high = len(words) - before[s - 1] if s else 0, after[e] if e < len(words) else e
+                    out.append((signed(xxhash.xxh3_64_intdigest(h[s:e].tobytes())), i, tie, s, s - low, h[low:high].view(np.int64)))
             yield pd.DataFrame(out, columns=["gram", "__id", "__tie", "line", "off", "near"])
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
