@@ -7,13 +7,16 @@ permutation).  A second permutation of 32-bit numbers, circularly shifted by k,
 Only representatives of equal sets enter buckets, so groups of copies cost one row.  Links are then found so that no hot bucket is ever expanded
 into all its pairs:
 
-1. every member meets its buckets' least ids (a join to pre-aggregated rows); of those whose signatures admit the pair it keeps the one that agrees
-   best and the least, and these pairs are verified on full sets; verified links give components;
-2. only buckets that still hold several components are compared inside, in blocks of ``BLOCK`` rows by signature bytes; a block emits, per pair of
-   components, the best few pairs, at first ``FEW``, then ever more, until every pair that the signatures admit is verified or joined.  So
+1. in two rounds, over the bands of ``ROUNDS``, each bucket sends one row per component (at first: per representative) to its least id; each sender keeps
+   the partner it met most often and the least one, as far as their signatures admit the pair, and these pairs are verified on full sets; verified
+   links give components;
+2. only buckets, of all bands, that still hold several components are compared inside by signature bytes.  Rows of a bucket's commonest component are dealt
+   to parts of ``BLOCK`` rows and never meet each other; the other rows visit every part.  A pair is taken up in the first band it shares; per pair of
+   components the best few are emitted, at first ``FEW``, then ever more, until every pair that the signatures admit is verified or joined.  So
    whatever the first step left out is decided exactly.
 
-Signatures admit a pair at ``AGREE`` of its coordinates, more than five standard deviations below the expectation for a link.
+Signatures admit a pair at ``AGREE`` of its coordinates, 3.7 standard deviations below the expectation for a pair right at the threshold (one in
+10,000 such pairs is missed; the tests and README give measured recall).
 Links are confirmed on the full sets (100 * intersection >= 80 * union), rebuilt from the texts.
 
 Defined results: a null text counts as empty; a text with fewer words than a shingle is one shingle; without words the set is empty and linked
@@ -36,10 +39,13 @@ from .common import materialize, require
 
 BANDS, ROWS = 30, 5
 K = BANDS * ROWS
-AGREE = 92
-BLOCK = 512
-FEW = 4
-SALTS = 16
+AGREE = 102
+BLOCK = 2048
+FEW = 2
+ROUNDS = ((0, 6), (6, 18))
+#: Pairs verified in one group, and rows of buckets compared in one group (about).
+MEMBERS = 500
+CELL_ROWS = 20_000
 #: Up to so many ids are broadcast to pick their texts; beyond that they are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -138,22 +144,28 @@ def agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are linked.  Partners of an id meet it in salted groups: its text is shipped once a salt, theirs once a pair."""
+    """The pairs (a, b) whose full sets are linked.  Partners meet their centre in groups of bounded size: its text is shipped once a group, theirs once a pair."""
     pairs = materialize(pairs.select("a", "b"), "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     n = ids.count()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
     texts = materialize(texts.join(F.broadcast(ids) if n <= MAX_BROADCAST_IDS else ids, "id"), "texts")
-    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")
-    members = pairs.join(texts.withColumnRenamed("id", "b"), "b").select("a", salt.alias("salt"), "b", "text").toDF("a", "salt", "b", "text")  # toDF: fresh columns, as both sides stem from the same tables
-    centres = pairs.select("a", salt.alias("salt")).distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", "salt", "text").toDF("a", "salt", "text")
+    most, total = pairs.groupBy("a").count().agg(F.max("count"), F.sum("count")).first()
+    salts, groups = -(-(most or 1) // MEMBERS), -(-(total or 1) // MEMBERS)  # a centre with many partners is dealt to several groups
+    group = F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(salts))), F.lit(groups)).cast("int")
+    pairs = pairs.withColumn("g", group)
+    # toDF: fresh columns, as both sides stem from the same tables
+    members = pairs.join(texts.withColumnRenamed("id", "b"), "b").select("g", "a", "b", "text").toDF("g", "a", "b", "text")
+    centres = pairs.select("a", "g").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("g", "a", "text").toDF("g", "a", "text")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own = [shingle_set(t, width) for t in left["text"]]
-        hit = [any(linked(x, u, percent) for x in own) for u in (shingle_set(t, width) for t in right["text"])]
+        own: dict[int, list[np.ndarray]] = {}
+        for a, t in zip(left["a"].tolist(), left["text"], strict=True):
+            own.setdefault(a, []).append(shingle_set(t, width))
+        hit = [any(linked(x, u, percent) for x in own[a]) for a, u in ((a, shingle_set(t, width)) for a, t in zip(right["a"].tolist(), right["text"], strict=True))]
         return right.loc[hit, ["a", "b"]] if len(right) else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
-    links = centres.groupBy("a", "salt").cogroup(members.groupBy("a", "salt")).applyInPandas(meet, "a long, b long")
+    links = centres.groupBy("g").cogroup(members.groupBy("g")).applyInPandas(meet, "a long, b long")
     return materialize(links.distinct(), "links")
 
 
@@ -171,37 +183,46 @@ def labels(edges: DataFrame) -> DataFrame:
         now = new.select("id", "comp")
 
 
-def within_buckets(members: DataFrame, few: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and whose signatures agree: per block and pair of components the ``few`` best, with
-    ``more`` where there were others."""
-    sizes = members.groupBy("key").agg(F.countDistinct("comp").alias("comps"), F.count("*").alias("n")).where("comps > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    m = members.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    spread = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, "part").alias("i"), F.greatest(p, "part").alias("j")))
-    m = m.select("key", F.explode(spread).alias("cell"), "part", "id", "comp", "sig").select("key", "cell.i", "cell.j", "part", "id", "comp", "sig")
-
-    def compare(key, g: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
+def within_buckets(rows: DataFrame, few: int) -> DataFrame:
+    """rows: key, band, id, comp, sig.  Pairs (a, b) of different components that share a bucket and whose signatures agree: per part and pair of components
+    the ``few`` best, with ``more`` where there were others."""
+    per = rows.select("key", "comp").groupBy("key", "comp").agg(F.count("*").alias("n"))
+    mixed = per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
+    mixed = mixed.select("key", F.col("m.comp").alias("major"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    m = rows.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("minor", F.col("comp") != F.col("major"))
+    everywhere = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
+    m = m.select("key", "band", F.explode(everywhere).alias("i"), "part", "minor", "id", "comp", "sig")
+    cells = max(1, -(-m.count() // CELL_ROWS))
+    m = m.withColumn("cell", F.pmod(F.xxhash64("key", "i"), F.lit(cells)).cast("int"))
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["key", "i", "id"], ignore_index=True)
         s = np.frombuffer(b"".join(g["sig"]), dtype=np.uint8).reshape(len(g), K)
-        ids, comp, part = (g[c].to_numpy() for c in ("id", "comp", "part"))
-        rows, cols = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        found = []
-        for r in rows:
-            c = cols[(comp[cols] != comp[r]) & ((i != j) | (ids[cols] > ids[r]))]
-            if len(c):
-                n = (s[c] == s[r]).sum(axis=1)
-                c, n = c[n >= AGREE], n[n >= AGREE]
-                found += [(min(comp[r], comp[x]), max(comp[r], comp[x]), -k, min(ids[r], ids[x]), max(ids[r], ids[x])) for x, k in zip(c, n, strict=True)]
-        out, last, taken = [], None, 0
-        for x in sorted(found):
-            taken = taken + 1 if x[:2] == last else 1
-            last = x[:2]
-            if taken <= few:
-                out.append((x[3], x[4], False))
-            elif taken == few + 1:
-                out[-1] = (*out[-1][:2], True)
+        key, at, ids, comp, part, minor, band = (g[c].to_numpy() for c in ("key", "i", "id", "comp", "part", "minor", "band"))
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (at[1:] != at[:-1])])
+        out = []
+        for lo, hi in zip(starts, np.r_[starts[1:], len(g)], strict=True):
+            found = []
+            own = lo + np.flatnonzero(part[lo:hi] == at[lo])  # each row is met in its own part only
+            for r in lo + np.flatnonzero(minor[lo:hi]):
+                cols = own[(comp[own] != comp[r]) & (~minor[own] | (ids[own] > ids[r]))]
+                if len(cols):
+                    same = s[cols] == s[r]
+                    n = same.sum(axis=1)
+                    for x in np.flatnonzero(n >= AGREE):
+                        if same[x].reshape(BANDS, ROWS).all(axis=1).argmax() == band[r]:
+                            found.append((r, cols[x], n[x]))
+            taken: dict[tuple, int] = {}
+            for r, x, _ in sorted(found, key=lambda f: -f[2]):
+                both = (min(comp[r], comp[x]), max(comp[r], comp[x]))
+                taken[both] = taken.get(both, 0) + 1
+                if taken[both] <= few:
+                    out.append((min(ids[r], ids[x]), max(ids[r], ids[x]), False))
+                elif taken[both] == few + 1:
+                    out.append((min(ids[r], ids[x]), max(ids[r], ids[x]), True))
         return pd.DataFrame(out, columns=["a", "b", "more"]).astype({"a": "int64", "b": "int64", "more": "bool"})
 
-    return m.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    return m.groupBy("cell").applyInPandas(compare, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def components(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
@@ -211,31 +232,39 @@ def components(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     reps = signs.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "sig", "keys")).alias("r"))
     reps = materialize(reps.select("set_key", F.col("r.doc_id").alias("id"), "r.sig", "r.keys"), "classes")
     sigs = reps.select("id", "sig")
-    rows = reps.select(F.explode("keys").alias("key"), "id")
-    least = rows.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    shared = materialize(rows.join(least, "key"), "buckets")  # key, id, a
-    pairs = shared.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    best = agreement(pairs, sigs).groupBy("b").agg(F.max(F.struct("agree", (-F.col("a")).alias("a"))).alias("x"), F.min("a").alias("y"))
-    best = best.select("b", F.explode(F.array_distinct(F.array(-F.col("x.a"), F.col("y")))).alias("a"))
-    links = verified(best, docs, width, percent)
-    tried = best.select("a", "b")
+    none = signs.sparkSession.createDataFrame([], "a long, b long")
+    links, tried, comp = none, none, None
+
+    def rows(first: int, last: int, *more: str) -> DataFrame:
+        """A row per representative and band, with its component so far."""
+        r = reps.select("id", F.slice("keys", first + 1, last - first).alias("keys"), *more)
+        r = r.withColumn("comp", F.col("id")) if comp is None else r.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        return r.select(F.posexplode("keys").alias("band", "key"), "id", "comp", *more)
+
+    def take_up(fresh: DataFrame) -> None:
+        nonlocal links, tried, comp
+        more = verified(fresh, docs, width, percent)
+        links, tried = links.union(more), tried.union(fresh.select("a", "b"))
+        comp = labels(links)
+
+    for first, last in ROUNDS:
+        sent = rows(first, last).groupBy("key", "comp").agg(F.min("id").alias("b"))
+        least = sent.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+        met = sent.join(least, "key").where("a <> b").groupBy("b", "a").agg(F.count("*").alias("n"))
+        best = met.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("x"), F.min("a").alias("y"))
+        best = best.select("b", F.explode(F.array_distinct(F.array(-F.col("x.a"), F.col("y")))).alias("a"))
+        take_up(materialize(agreement(best, sigs).select("a", "b"), "pairs"))
     few = FEW
     while True:
-        comp = labels(links)
-        members = shared.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        members = members.join(mixed, "key").join(sigs, "id")
-        cross = materialize(within_buckets(members, few), "cross")
+        cross = materialize(within_buckets(rows(0, BANDS, "sig"), few), "cross")
         fresh = materialize(cross.join(tried, ["a", "b"], "left_anti"), "fresh")
         if not fresh.isEmpty():
-            more = verified(fresh, docs, width, percent)
-            links = materialize(links.union(more), "links")
-            tried = materialize(tried.union(fresh.select("a", "b")), "tried")
-            if not more.isEmpty():
-                comp = labels(links)
-        if cross.where("more").isEmpty():
+            take_up(fresh)
+        # pairs that were held back matter only where their components are still apart
+        rest = cross.where("more").join(comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
+        if rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).isEmpty():
             break
-        few *= 16
+        few *= 32
     classes = reps.select("set_key", "id").join(comp, "id", "left").select("set_key", F.coalesce("comp", "id").alias("comp"))
     out = signs.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     component = F.when(F.col("set_key").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("comp"))
