@@ -7,7 +7,7 @@ best fit, longest first, on counts too.  The plan, a bounded list of slot ranges
 among the pieces of its length.  Ranks come from counts per (length, chunk), so a length that a third of all pieces share is still ranked in many tasks.
 
 Tokenizing keeps a bounded memo of white-space-delimited chunks: the tokenizer's pre-tokens never cross white space and its normalizers act the
-same on a chunk as on the text around it, so a text's ids are those of its chunks.  Texts with the four separators U+001C-U+001F, which Python
+same on a chunk as on the text around it, so a text's ids are those of its chunks.  New chunks are cut on into pre-tokens, which repeat more often.  Texts with the four separators U+001C-U+001F, which Python
 counts as white space and the tokenizer doesn't, go to the tokenizer whole.
 
 Defined results: a null or empty text is the single id 0 that ends every document; repeated rows are packed as often as they occur; other
@@ -16,6 +16,7 @@ columns are ignored; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -24,19 +25,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import materialize, partitions, require
+from .common import materialize, partitions, require, slices
 
 CAPACITY = 2048
-MEMO = 400_000
-MEMO_CHARS = 64
+MEMO = 600_000
+PARTS = 1_000_000
 PATTERN_LENGTHS = 96
 MAX_PATTERNS = 6_000
 SWEEPS = 60
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: The tokenizer's pre-tokens.
+PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
 def tokenizer_path() -> str:
@@ -55,27 +59,50 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def fresh(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
 
+    def learn(self, chunks: set[str]) -> None:
+        """Ids of new chunks.  Chunks in plain Latin letters are cut into the tokenizer's own pre-tokens, in lower case, and only new ones of these are merged."""
+        memo, parts = self.memo, self.parts
+        if len(parts) > PARTS:
+            parts.clear()
+        plain, odd, new = {}, [], set()
+        for c in chunks:
+            if c.isascii() or (max(c) < "\u0250" and "\u0130" not in c):
+                plain[c] = own = PRE_TOKEN.findall(c.lower())
+                new.update(p for p in own if p not in parts)
+            else:
+                odd.append(c)
+        listed = list(new)
+        parts.update(zip(listed, self.fresh(listed), strict=True))
+        for c, own in plain.items():
+            memo[c] = b"".join([parts[p] for p in own]) if len(own) > 1 else parts[own[0]]
+        memo.update(zip(odd, self.fresh(odd), strict=True))
+
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         memo = self.memo
-        for t in texts:
-            if ODD_SPACE.search(t):
-                yield self.fresh([t])[0]
-                continue
-            chunks = t.split()
-            try:
-                yield b"".join(map(memo.__getitem__, chunks))
-            except KeyError:
-                if len(memo) > MEMO:
+        for start, end in slices(texts):
+            cut = [None if ODD_SPACE.search(t) else t.split() for t in texts[start:end]]
+            new: set[str] = set()
+            for chunks in cut:
+                if chunks:
+                    new.update(set(chunks).difference(memo))
+            if new:
+                if len(memo) + len(new) > MEMO:  # the memo is emptied: all chunks of this slice are new
                     memo.clear()
-                new = list({c for c in chunks if c not in memo})
-                got = dict(zip(new, self.fresh(new), strict=True))
-                long_ones = {c: got.pop(c) for c in new if len(c) > MEMO_CHARS}
-                memo.update(got)
-                yield b"".join(long_ones[c] if c in long_ones else memo[c] for c in chunks) if long_ones else b"".join(map(memo.__getitem__, chunks))
+                    new = {c for chunks in cut if chunks for c in chunks}
+                self.learn(new)
+            for t, chunks in zip(texts[start:end], cut, strict=True):
+                yield self.fresh([t])[0] if chunks is None else b"".join(map(memo.__getitem__, chunks))
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, which Spark uses for many tasks, so that what it has learnt is kept."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -84,10 +111,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
         for b in batches:
             rows, who = [], []
-            for at, ids in enumerate(encoder.texts(b["text"].tolist())):
+            for at, ids in enumerate(encoder(path).texts(b["text"].tolist())):
                 ids += end
                 for p in range(0, len(ids), 4 * capacity):
                     x = ids[p : p + 4 * capacity]
