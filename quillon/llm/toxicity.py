@@ -12,6 +12,7 @@ repeated rows score alike; without labelled rows of both kinds the score is the
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -73,6 +74,12 @@ class Hasher:
             return np.fromiter((v if (v := get(w)) is not None else miss(w) for w in words), dtype=np.int64, count=len(words))
 
 
+@functools.cache
+def hasher() -> Hasher:
+    """One for each Python worker."""
+    return Hasher()
+
+
 def language(rows: np.ndarray) -> int:
     """Place in NAMES of the language with most function words; ties and none: other."""
     n = [np.count_nonzero(rows >> (3 * BITS + i) & 1) for i in range(len(LANGUAGES))]
@@ -215,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_fit: int
     known = known.groupBy("doc_id").agg(F.max(column).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h = Hasher()
+        h = hasher()
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "rows": [h.rows(t).tobytes() for t in b["text"]]})
 
@@ -234,7 +241,7 @@ def classify(docs: DataFrame, net: Net) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(net)  # three fixed tables, 12 MB
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h, n = Hasher(), shared.value
+        h, n = hasher(), shared.value
         for b in batches:
             s = np.array([n.score(h.rows(t)) for t in b["text"]], dtype=float)
             yield pd.DataFrame({"doc_id": b["doc_id"].array, "held_out": b["held_out"].array, "score": s, "predicted": (s >= 0.5).astype("int32")})
