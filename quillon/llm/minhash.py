@@ -170,30 +170,53 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 
 
 def labels(edges: DataFrame) -> DataFrame:
-    """id, comp: the least id of each end's component.  Least labels spread along edges, then pointers are doubled, until nothing changes."""
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    now = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "id"), "labels")
+    """id, comp: the least id of each end's component.  Each node points to its least neighbour, pointers are doubled, and the graph is contracted to where
+    they point; edges inside a component fall away, so each round works on what is left of the one before."""
+    left = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    now = None
     while True:
-        near = both.join(now.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("comp").alias("m")).withColumnRenamed("a", "id")
-        new = now.join(near, "id", "left").select("id", F.least("comp", F.coalesce("m", "comp")).alias("comp"), F.col("comp").alias("old"))
-        up = new.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        new = materialize(new.join(up, "comp", "left").select("id", F.least("comp", F.coalesce("up", "comp")).alias("comp"), "old"), "labels")
-        if new.where("comp <> old").isEmpty():
-            return new.select("id", "comp")
-        now = new.select("id", "comp")
-
-
-def within_buckets(rows: DataFrame, few: int) -> DataFrame:
-    """rows: key, band, id, comp, sig.  Pairs (a, b) of different components that share a bucket and whose signatures agree: per part and pair of components
+        both = left.union(left.select("b", "a"))
+        to = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")), "pointers")
+        to = materialize(to.join(to.toDF("x", "y"), F.col("to") == F.col("x")).select("a", F.col("y").alias("to")), "pointers")
+        if now is None:
+            now = to.toDF("id", "comp")
+        else:
+            now = now.join(to, F.col("comp") == F.col("a"), "left").select("id", F.coalesce("to", "comp").alias("comp"))
+        now = materialize(now, "labels")
+        left = left.join(to.toDF("a", "ta"), "a").join(to.toDF("b", "tb"), "b").where("ta <> tb")
+        left = materialize(left.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
+        if left.isEmpty():
+            return now
+
+
+def component_of(comp: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``ids`` with ``column`` replaced by its component so far."""
+    c = comp.toDF("__id", "__comp")
+    return ids.join(c, F.col(column) == F.col("__id"), "left").withColumn(column, F.coalesce("__comp", column)).drop("__id", "__comp")
+
+
+def merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after new links; only the links between different components so far are followed."""
+    if comp is None:
+        return labels(links)
+    between = component_of(comp, component_of(comp, links.select("a", "b"), "a"), "b").where("a <> b")
+    new = labels(between)
+    single = new.select("id").join(comp.select("id"), "id", "left_anti").select("id", F.col("id").alias("comp"))
+    return materialize(component_of(new, comp.union(single), "comp").select("id", "comp"), "labels")
+
+
+def within_buckets(rows: DataFrame, sigs: DataFrame, few: int) -> DataFrame:
+    """rows: key, band, id, comp.  Pairs (a, b) of different components that share a bucket and whose signatures agree: per part and pair of components
     the ``few`` best, with ``more`` where there were others."""
-    per = rows.select("key", "comp").groupBy("key", "comp").agg(F.count("*").alias("n"))
+    per = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
     mixed = mixed.select("key", F.col("m.comp").alias("major"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     m = rows.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("minor", F.col("comp") != F.col("major"))
     everywhere = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
-    m = m.select("key", "band", F.explode(everywhere).alias("i"), "part", "minor", "id", "comp", "sig")
+    m = materialize(m.select("key", "band", F.explode(everywhere).alias("i"), "part", "minor", "id", "comp"), "mixed")
     cells = max(1, -(-m.count() // CELL_ROWS))
-    m = m.withColumn("cell", F.pmod(F.xxhash64("key", "i"), F.lit(cells)).cast("int"))
+    # signatures travel only to rows of mixed buckets
+    m = m.join(sigs, "id").withColumn("cell", F.pmod(F.xxhash64("key", "i"), F.lit(cells)).cast("int"))
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["key", "i", "id"], ignore_index=True)
@@ -233,19 +256,21 @@ def components(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     reps = materialize(reps.select("set_key", F.col("r.doc_id").alias("id"), "r.sig", "r.keys"), "classes")
     sigs = reps.select("id", "sig")
     none = signs.sparkSession.createDataFrame([], "a long, b long")
-    links, tried, comp = none, none, None
+    tried, comp = none, None
+    # only buckets that several representatives share matter; the many others are left out once
+    every = reps.select(F.posexplode("keys").alias("band", "key"), "id")
+    shared = every.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
+    buckets = materialize(every.join(shared, "key").select("key", "band", "id"), "buckets")
 
-    def rows(first: int, last: int, *more: str) -> DataFrame:
-        """A row per representative and band, with its component so far."""
-        r = reps.select("id", F.slice("keys", first + 1, last - first).alias("keys"), *more)
-        r = r.withColumn("comp", F.col("id")) if comp is None else r.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        return r.select(F.posexplode("keys").alias("band", "key"), "id", "comp", *more)
+    def rows(first: int, last: int) -> DataFrame:
+        """The rows of a range of bands, each with its component so far."""
+        r = buckets.where(F.col("band").between(first, last - 1)).withColumn("comp", F.col("id"))
+        return r if comp is None else component_of(comp, r, "comp")
 
     def take_up(fresh: DataFrame) -> None:
-        nonlocal links, tried, comp
-        more = verified(fresh, docs, width, percent)
-        links, tried = links.union(more), tried.union(fresh.select("a", "b"))
-        comp = labels(links)
+        nonlocal tried, comp
+        tried = tried.union(fresh.select("a", "b"))
+        comp = merged(comp, verified(fresh, docs, width, percent))
 
     for first, last in ROUNDS:
         sent = rows(first, last).groupBy("key", "comp").agg(F.min("id").alias("b"))
@@ -256,7 +281,7 @@ def components(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
         take_up(materialize(agreement(best, sigs).select("a", "b"), "pairs"))
     few = FEW
     while True:
-        cross = materialize(within_buckets(rows(0, BANDS, "sig"), few), "cross")
+        cross = materialize(within_buckets(rows(0, BANDS), sigs, few), "cross")
         fresh = materialize(cross.join(tried, ["a", "b"], "left_anti"), "fresh")
         if not fresh.isEmpty():
             take_up(fresh)
