@@ -5,9 +5,9 @@ A text is cut into words by the tokenizer's pattern; each distinct word is merge
 until no pair has a rank.  The literal map is a perfect hash in two flat arrays, so a lookup costs a few array reads.  Decoding maps
 ids to the tokens' bytes and concatenates the pieces.
 
-Words repeat: the most frequent ones (at most ``MAX_KNOWN``, by counts over the whole corpus) are folded once and shipped as a hashed table of bounded size;
-any other word is folded where it stands, by the same expression.  So texts are read where they lie and never shuffled; only distinct words are.
-No Python runs on the executors.
+Words repeat: the most frequent ones (at most ``MAX_KNOWN``, by counts over the whole corpus) are folded and decoded once and broadcast as a table of
+bounded size.  Texts are cut where they lie and never shuffled (Arrow batches, the tokenizer's own pattern): runs of known words become their codes,
+any other word stays a word between them and is folded by the same expression.
 
 Defined results: a null text counts as empty; an empty text has no ids, and both digests are those of no bytes; repeated rows are encoded alike;
 other columns are ignored.
@@ -17,13 +17,17 @@ from __future__ import annotations
 
 import base64
 import functools
+from collections.abc import Iterator
 
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
 from .common import materialize, require, text_or_empty
 
-#: The tokenizer's pattern with Unicode white space spelled out, as Java's ``\s`` is ASCII only.
+#: For counting words on the JVM: the tokenizer's pattern with Unicode white space spelled out, as Java's ``\s`` is ASCII only.
 SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}++| ?\p{{N}}++| ?[^{SPACE}\p{{L}}\p{{N}}]++|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 MAX_KNOWN = 1 << 17
@@ -136,36 +140,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
-class Known:
-    """A bounded table of words and their codes as flat literals: a word is at one of two places that its 64-bit hash names."""
-
-    def __init__(self, rows: list[tuple[str, int, str, str]]):
-        self.bits = max(8, (4 * len(rows)).bit_length())
-        self.places = [0] * (1 << self.bits)
-        self.words, self.ids, self.bytes = [""], [""], [""]
-        for w, h, i, d in rows:  # most frequent first; one that finds no place is folded where it stands
-            at = next((p for p in ((h & (1 << self.bits) - 1), (h >> 32 & (1 << self.bits) - 1)) if not self.places[p]), None)
-            if at is not None:
-                self.places[at] = len(self.words)
-                self.words.append(w)
-                self.ids.append(i)
-                self.bytes.append(d)
-
-    def code(self, w: Column) -> Column:
-        """i and d as of :meth:`Merger.coded`, or null."""
-        places = Merger.literal(self.places, "int")
-        words, ids, bytes_ = (F.split(F.lit("\x01".join(x)), "\x01") for x in (self.words, self.ids, self.bytes))
-        mask = F.lit((1 << self.bits) - 1).cast("bigint")
-        h = F.xxhash64(w)
-        both = F.array(F.get(places, h.bitwiseAND(mask).cast("int")), F.get(places, F.shiftright(h, 32).bitwiseAND(mask).cast("int")))
-        at = F.get(F.filter(both, lambda p: F.get(words, p) == w), F.lit(0))
-        return F.get(F.transform(F.array(at), lambda p: F.when(p > 0, F.struct(F.get(ids, p).alias("i"), F.get(bytes_, p).alias("d")))), F.lit(0))
-
-
-def known_words(texts: DataFrame, merger: Merger, most: int = MAX_KNOWN) -> Known:
-    """At most ``most`` words, the most frequent, with their codes."""
+def known_words(texts: DataFrame, merger: Merger, most: int = MAX_KNOWN) -> dict[str, tuple[bytes, bytes]]:
+    """At most ``most`` words, the most frequent, with their ids (little-endian, four bytes each) and the bytes that these decode to."""
     counts = texts.select(F.explode(words(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    counts = materialize(counts.where("n > 1 and octet_length(w) <= 64").where(~F.col("w").rlike(r"[\x00-\x1F]")).select("w", F.floor(8 * F.log2("n")).cast("int").alias("level")), "words")
+    counts = materialize(counts.where("n > 1 and octet_length(w) <= 64").select("w", F.floor(8 * F.log2("n")).cast("int").alias("level")), "words")
     kept, least = 0, None
     for r in sorted(counts.groupBy("level").count().collect(), key=lambda r: -r["level"]):  # a few hundred levels at most
         kept += r["count"]
@@ -173,21 +151,45 @@ def known_words(texts: DataFrame, merger: Merger, most: int = MAX_KNOWN) -> Know
             break
         least = r["level"]
     chosen = counts.where(F.lit(False) if least is None else F.col("level") >= least)
-    rows = chosen.select("level", "w", F.xxhash64("w").alias("h"), merger.coded(F.col("w")).alias("c")).select("level", "w", "h", "c.i", "c.d").collect()  # ``most`` rows at most
-    return Known([(r["w"], r["h"], r["i"], r["d"]) for r in sorted(rows, key=lambda r: (-r["level"], r["w"]))])
-
-
-def encode(docs: DataFrame, path: str | None = None, most: int = MAX_KNOWN) -> DataFrame:
+    rows = chosen.select("w", merger.coded(F.col("w")).alias("c")).select("w", F.unhex("c.i").alias("i"), F.unhex("c.d").alias("d")).toLocalIterator()  # ``most`` rows at most
+    return {r["w"]: (bytes(r["i"]), bytes(r["d"])) for r in rows}
+
+
+def segments(texts: DataFrame, known: dict[str, tuple[bytes, bytes]], pattern: str) -> DataFrame:
+    """doc_id, s: an array of structs, each the codes (i) and bytes (d) of a run of known words and the word (w) after it that isn't known; null after the last."""
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get, cut = shared.value.get, regex.compile(pattern).findall
+        for b in batches:
+            out = []
+            for t in b["text"]:
+                found, ids, data = [], [], []
+                for w in cut(t):
+                    if c := get(w):
+                        ids.append(c[0])
+                        data.append(c[1])
+                    else:
+                        found.append({"i": b"".join(ids), "d": b"".join(data), "w": w})
+                        ids, data = [], []
+                found.append({"i": b"".join(ids), "d": b"".join(data), "w": None})
+                out.append(found)
+            yield pd.DataFrame({"doc_id": b["doc_id"].array, "s": out})
+
+    each = StructType([StructField("i", BinaryType()), StructField("d", BinaryType()), StructField("w", StringType())])
+    return texts.mapInPandas(run, StructType([texts.schema["doc_id"], StructField("s", ArrayType(each))]))
+
+
+def encode(docs: DataFrame, path: str | None = None, most: int = MAX_KNOWN, pattern: str | None = None) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     require(docs, "doc_id", "text")
+    if pattern is None:
+        from public_tokenizers import PATTERN as pattern
     merger = Merger(path)
     t = docs.select("doc_id", text_or_empty().alias("text"))
-    known = known_words(t, merger, most)
-    t = t.select("doc_id", F.transform(words(F.col("text")), lambda w: F.coalesce(known.code(w), merger.coded(w))).alias("c"))
-    ids, bytes_ = F.array_join(F.transform("c", lambda x: x["i"]), ""), F.array_join(F.transform("c", lambda x: x["d"]), "")
-    return t.select(
-        "doc_id",
-        (F.length(ids) / 8).cast("long").alias("n_tokens"),
-        F.sha2(F.unhex(ids), 256).alias("ids_sha256"),
-        F.sha2(F.unhex(bytes_), 256).alias("decoded_sha256"),
-    )
+    t = segments(t, known_words(t, merger, most), pattern)
+    rest = F.transform("s", lambda x: F.struct(x["i"].alias("i"), x["d"].alias("d"), F.when(x["w"].isNotNull(), merger.coded(x["w"])).alias("c")))
+    t = t.select("doc_id", rest.alias("s"))
+    whole = lambda k: F.array_join(F.transform("s", lambda x: F.concat(F.hex(x[k]), F.coalesce(x["c"][k], F.lit("")))), "")
+    t = t.select("doc_id", F.unhex(whole("i")).alias("ids"), F.unhex(whole("d")).alias("decoded"))
+    return t.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
