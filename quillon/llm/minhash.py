@@ -8,8 +8,8 @@ Only representatives of equal sets enter buckets, so groups of copies cost one r
 into all its pairs:
 
 1. in two rounds, over the bands of ``ROUNDS``, each bucket sends one row per component (at first: per representative) to its least id; each sender keeps
-   the partner it met most often and the least one, as far as their signatures admit the pair, and these pairs are verified on full sets; verified
-   links give components;
+   the partner it met most often (in the second round, of components, the least one too), as far as their signatures admit the pair, and these pairs
+   are verified on full sets; verified links give components;
 2. only buckets, of all bands, that still hold several components are compared inside by signature bytes.  Rows of a bucket's commonest component are dealt
    to parts of ``BLOCK`` rows and never meet each other; the other rows visit every part.  A pair is taken up in the first band it shares; per pair of
    components the best few are emitted, at first ``FEW``, then ever more, until every pair that the signatures admit is verified or joined.  So
@@ -277,7 +277,8 @@ def components(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
         least = sent.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
         met = sent.join(least, "key").where("a <> b").groupBy("b", "a").agg(F.count("*").alias("n"))
         best = met.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("x"), F.min("a").alias("y"))
-        best = best.select("b", F.explode(F.array_distinct(F.array(-F.col("x.a"), F.col("y")))).alias("a"))
+        both = F.array(-F.col("x.a")) if comp is None else F.array_distinct(F.array(-F.col("x.a"), F.col("y")))
+        best = best.select("b", F.explode(both).alias("a"))
         take_up(materialize(agreement(best, sigs).select("a", "b"), "pairs"))
     few = FEW
     while True:
