@@ -11,8 +11,8 @@ into all its pairs:
    the partner it met most often (in the second round, of components, the least one too), as far as their signatures admit the pair, and these pairs
    are verified on full sets; verified links give components;
 2. only buckets, of all bands, that still hold several components are compared inside by signature bytes.  Rows of a bucket's commonest component are dealt
-   to parts of ``BLOCK`` rows and never meet each other; the other rows visit every part.  A pair is taken up in the first band it shares; per pair of
-   components the best few are emitted, at first ``FEW``, then ever more, until every pair that the signatures admit is verified or joined.  So
+   to parts of ``BLOCK`` rows and never meet each other; the other rows visit every part.  A pair is taken up in the first band whose bucket it shares
+   (decided by the keys of the earlier bands, as signature bytes can agree by chance); per pair of components the best few are emitted, at first ``FEW``, then ever more, until every pair that the signatures admit is verified or joined.  So
    whatever the first step left out is decided exactly.
 
 Signatures admit a pair at ``AGREE`` of its coordinates, 3.7 standard deviations below the expectation for a pair right at the threshold (one in
@@ -206,7 +206,7 @@ def merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def within_buckets(rows: DataFrame, sigs: DataFrame, few: int) -> DataFrame:
-    """rows: key, band, id, comp.  Pairs (a, b) of different components that share a bucket and whose signatures agree: per part and pair of components
+    """rows: key, band, id, comp; sigs: id, sig, keys (of all bands).  Pairs (a, b) of different components that share a bucket and whose signatures agree: per part and pair of components
     the ``few`` best, with ``more`` where there were others."""
     per = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
@@ -215,25 +215,25 @@ def within_buckets(rows: DataFrame, sigs: DataFrame, few: int) -> DataFrame:
     everywhere = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
     m = materialize(m.select("key", "band", F.explode(everywhere).alias("i"), "part", "minor", "id", "comp"), "mixed")
     cells = max(1, -(-m.count() // CELL_ROWS))
-    # signatures travel only to rows of mixed buckets
-    m = m.join(sigs, "id").withColumn("cell", F.pmod(F.xxhash64("key", "i"), F.lit(cells)).cast("int"))
+    # signatures, and the keys of the bands before the row's, travel only to rows of mixed buckets
+    m = m.join(sigs, "id").withColumn("keys", F.slice("keys", F.lit(1), F.col("band"))).withColumn("cell", F.pmod(F.xxhash64("key", "i"), F.lit(cells)).cast("int"))
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["key", "i", "id"], ignore_index=True)
+        g = g.sort_values(["key", "band", "i", "id"], ignore_index=True)
         s = np.frombuffer(b"".join(g["sig"]), dtype=np.uint8).reshape(len(g), K)
         key, at, ids, comp, part, minor, band = (g[c].to_numpy() for c in ("key", "i", "id", "comp", "part", "minor", "band"))
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (at[1:] != at[:-1])])
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (band[1:] != band[:-1]) | (at[1:] != at[:-1])])
         out = []
         for lo, hi in zip(starts, np.r_[starts[1:], len(g)], strict=True):
             found = []
+            before = np.array(g["keys"][lo:hi].tolist(), dtype=np.int64).reshape(hi - lo, band[lo])
             own = lo + np.flatnonzero(part[lo:hi] == at[lo])  # each row is met in its own part only
             for r in lo + np.flatnonzero(minor[lo:hi]):
                 cols = own[(comp[own] != comp[r]) & (~minor[own] | (ids[own] > ids[r]))]
                 if len(cols):
-                    same = s[cols] == s[r]
-                    n = same.sum(axis=1)
+                    n = (s[cols] == s[r]).sum(axis=1)
                     for x in np.flatnonzero(n >= AGREE):
-                        if same[x].reshape(BANDS, ROWS).all(axis=1).argmax() == band[r]:
+                        if not (before[cols[x] - lo] == before[r - lo]).any():
                             found.append((r, cols[x], n[x]))
             taken: dict[tuple, int] = {}
             for r, x, _ in sorted(found, key=lambda f: -f[2]):
@@ -282,7 +282,7 @@ def components(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
         take_up(materialize(agreement(best, sigs).select("a", "b"), "pairs"))
     few = FEW
     while True:
-        cross = materialize(within_buckets(rows(0, BANDS), sigs, few), "cross")
+        cross = materialize(within_buckets(rows(0, BANDS), reps.select("id", "sig", "keys"), few), "cross")
         fresh = materialize(cross.join(tried, ["a", "b"], "left_anti"), "fresh")
         if not fresh.isEmpty():
             take_up(fresh)

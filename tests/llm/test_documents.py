@@ -179,6 +179,24 @@ def test_blocks_inside_buckets_find_what_stars_miss(spark, monkeypatch):
     assert by_id(minhash.components(df), "n_shingles", "component_id", "kept") == sorted(brute_near(rows, 4, 80), key=str)
 
 
+def test_pairs_whose_bytes_agree_by_chance_in_an_earlier_band_are_found(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "ROUNDS", ((0, 0), (0, 0)))  # nothing is linked before buckets are compared inside
+    rng = random.Random(6)
+    rows = []
+    for _ in range(4000):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(180)]
+        v = [*w[:-16], *(f"v{rng.randrange(10**9)}" for _ in range(16))]
+        s, t = (minhash.signature(minhash.shingle_set(" ".join(x), 4)) for x in (w, v))
+        bands = (s.astype(np.uint8) == t.astype(np.uint8)).reshape(minhash.BANDS, minhash.ROWS).all(axis=1)
+        if bands.argmax() < (minhash.bucket_keys(s) == minhash.bucket_keys(t)).argmax():
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(v))]
+        if len(rows) >= 6:
+            break
+    assert len(rows) >= 6
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_id(minhash.components(df), "n_shingles", "component_id", "kept") == sorted(brute_near(rows, 4, 80), key=str)
+
+
 def brute_lines(rows, noise, guarantee):
     """Lines that must go (in a repeated run of ``guarantee`` words) and that may go (in one of ``noise`` words)."""
     docs = [[(x.strip(), len(x.split())) for x in (t or "").split("\n") if x.strip()] for _, t in rows]
