@@ -127,3 +127,31 @@ def test_splits_and_samples(spark):
 def test_entry_works_without_the_optional_parts():
     code = "import sys; sys.modules['quillon.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_features_of_named_fields_pairs_and_windows(spark):
+    from quillon.operators import question, state
+    from quillon.plans.decide import feature_table
+
+    def rows(st, qs):
+        r = spark.createDataFrame([("r", "quillon-1", json.dumps(st), json.dumps(qs))], "request_id string, model string, state string, questions string")
+        leaves = state.flatten(r, "request_id", "state")
+        asked = question.questions(r)
+        f = feature_table(leaves, state.token_rows(leaves, "request_id"), asked, question.criteria(asked))
+        return {(x["question_id"], x["key"]): x for x in f.collect()}
+
+    st = {"answer": "The parcel weighs 12 kilos. The parcel is not damaged.", "note": "urgent refund", "question": "The parcel weighs 15 kilos and is damaged."}
+    qs = {"pair": io.noul("Does `answer` agree with `question`?"), "pick": io.choice("What is in `note`?", {"refund": "a refund", "parcel": "a parcel"})}
+    f = rows(st, qs)
+    yes, no = f["pair", "true"], f["pair", "false"]
+    # stems parcel (.6), weigh (.6), kilo (.45), damag (.6) are shared, as are none of the numbers 12 and 15 (.2)
+    assert yes["xfield_available"] == 1 and yes["xfield_cov_ab"] == pytest.approx(2.25 / 2.45) and yes["xfield_cov_ba"] == pytest.approx(2.25 / 2.45)
+    assert yes["xfield_jaccard"] == pytest.approx(4 / 6) and 0.5 < yes["xfield_cos"] < 1 and 0.5 < yes["xfield_gram"] < 1
+    assert yes["xfield_neg_conflict"] == pytest.approx(0.6 / 2.45) and yes["xfield_num_conflict"] == 1
+    assert no["xfield_available"] == 0 and no["xfield_cov_ab"] == 0
+    assert f["pick", "refund"]["focus_cov"] > 0 and f["pick", "refund"]["focus_literal"] == 1
+    assert f["pick", "parcel"]["cov_w"] > 0 and f["pick", "parcel"]["focus_cov"] == 0 and f["pick", "parcel"]["focus_literal"] == 0
+    ask = {"w": io.noul("Is the return allowed?")}
+    for text, want in (("Returns within 30 days. Bought 20 days ago.", 1), ("Returns within 30 days. Bought 45 days ago.", -1), ("Bought 45 days ago.", 0), ("Today is 2026-03-10. Returns within 30 days. Bought on 2026-01-05.", -1)):
+        f = rows({"text": text}, ask)
+        assert (f["w", "true"]["window_ok"], f["w", "false"]["window_ok"]) == (want, 0)
