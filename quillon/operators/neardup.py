@@ -14,7 +14,8 @@ from ..functions.strings import jaccard, let, normalized, shingles
 
 WIDTH = 5
 PERCENT = 80
-BANDS, ROWS = 16, 8
+#: A pair at PERCENT shares no band with a probability of (1 - 0.8**4)**32, below 1e-7.
+BANDS, ROWS = 32, 4
 PRIME = (1 << 31) - 1
 MIN_BYTES = 20
 

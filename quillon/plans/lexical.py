@@ -198,7 +198,7 @@ def shingle_neardup(spark, sf):
 
 @query()
 def minhash_lsh(spark, sf):
-    """The same links by MinHash bands; bands of eight rows find a pair at the threshold with a probability of 0.95, tests measure the recall."""
+    """The same links by MinHash bands; 32 bands of four rows miss a pair at the threshold with a probability below 1e-7, tests measure the recall."""
     docs = table(spark, sf, "documents")
     members, sets = neardup.classes(docs)
     keyed = sets.withColumnRenamed("class_id", "key")

@@ -78,6 +78,13 @@ def test_lsh_finds_what_the_exact_join_finds(spark):
     assert neardup.linked_classes(docs, neardup.similar_sets(sets), members).count() == docs.count()
 
 
+def test_lsh_bands_lose_no_pair_at_the_threshold(spark):
+    sets = [(i, [f"{i}-{j}" for j in range(80)]) for i in range(200)]  # Jaccard 80 / 100
+    left = spark.createDataFrame([(i, [*s, *(f"{i}-a{j}" for j in range(10))]) for i, s in sets], "key long, sh array<string>")
+    right = spark.createDataFrame([(i, [*s, *(f"{i}-b{j}" for j in range(10))]) for i, s in sets], "key long, sh array<string>")
+    assert neardup.lsh_pairs(left, right).where("a = b").count() == 200
+
+
 def requests(spark, rows):
     return spark.createDataFrame([io.request_row(*r) for r in rows], io.REQUESTS)
 
