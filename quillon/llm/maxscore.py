@@ -6,7 +6,7 @@ essential ones are traversed for all rows, the others are only probed for rows t
 given up as soon as its partial score plus the bounds of what is left falls short.  A shard returns its k best; a window merges the shards.
 
 Queries (a set that grows with the table) and shards meet in blocks: every (query block, shard) pair is one bounded task.
-Components are floor(scale * x), clipped to +-2**27 so that sums fit a long.  Defined results: vectors that are null, hold a null or a non-finite
+Components are floor(scale * x).  A component outside of a long, or a pair of blocks whose sums could leave one, raises an error.  Defined results: vectors that are null, hold a null or a non-finite
 component, or have no id take no part; a shorter vector counts as padded with zeros; rows that share an id are all candidates, yet never
 for their own id, and as queries only the least of their vectors counts; ties go to the smaller id.  Fewer candidates than k: all of them.
 """
@@ -23,7 +23,6 @@ from .common import partitions, require
 SHARD_ROWS = 65_536
 MIN_SHARD_ROWS = 2_048
 QUERY_BLOCK = 4_096
-CLIP = 1 << 27
 #: Terms visited between two rounds of pruning.
 STRIDE = 8
 
@@ -40,7 +39,9 @@ def top_k_shard(q_ids, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int):
     """The k best rows of a shard for each query: lists of (query, row ids, scores)."""
     width = max(q.shape[1], v.shape[1])
     q, v = np.pad(q, ((0, 0), (0, width - q.shape[1]))), np.pad(v, ((0, 0), (0, width - v.shape[1])))
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * width < 2.0**52
+    exact = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(v.astype(np.float64)).max(initial=0)) * width < 2.0**52
+    if not exact and int(max(q.max(initial=0), -int(q.min(initial=0)))) * int(max(v.max(initial=0), -int(v.min(initial=0)))) * width >= 2**63:
+        raise OverflowError("scores could exceed a long: the components of embedding are too large")
     kind = np.float64 if exact else np.int64  # sums below 2**52 are exact in doubles, which numpy multiplies faster
     q, postings = q.astype(kind), np.ascontiguousarray(v.T.astype(kind))
     high, low = postings.max(axis=1), postings.min(axis=1)
@@ -70,9 +71,10 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
     require(vectors, "vec_id", "embedding")
     spark = vectors.sparkSession
     fit = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    clip = lambda x: F.greatest(F.lit(-float(CLIP)), F.least(F.lit(float(CLIP)), x.cast("double") * scale))
+    scaled = lambda x: x.cast("double") * scale
+    whole = lambda x: F.when(F.abs(scaled(x)) < 2.0**63, F.floor(scaled(x)).cast("long")).otherwise(F.raise_error(F.lit("a component of embedding exceeds a long")).cast("long"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(fit)
-    rows = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(clip(x)).cast("int")).alias("v"))
+    rows = rows.select("vec_id", F.transform("embedding", whole).alias("v"))
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     n = rows.count()
     shards = max(1, -(-n // SHARD_ROWS), min(partitions(spark), n // MIN_SHARD_ROWS))

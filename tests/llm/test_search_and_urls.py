@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from quillon.llm import maxscore, urlfilter
 
 
@@ -30,6 +32,15 @@ def test_top_k_against_brute_force(spark):
     assert maxscore.search(few.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [1.0, 1.0]), (1, [200000.0, 0.0]), (2, [150000.0, 1.0]), (3, [-300000.5, 5.0]), (4, [140000.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in maxscore.search(df).collect()) == brute(rows, 10)
+    for x in (1e12, 1e17):  # a score, and a component, that no long holds
+        with pytest.raises(Exception, match="exceed a long|exceeds a long"):
+            maxscore.search(spark.createDataFrame([(0, [x]), (1, [x])], "vec_id long, embedding array<double>")).collect()
+
+
 URLS = [
     None, "", "no scheme", "http://", "http://Example.COM", "http://example.com/en/", "http://example.com/en", "https://a.example.com/en/x?y#z", "http://www.example.com/en/q", "http://x.www.example.com/en/",
     "http://notexample.com/en/", "http://b.net/es/1", "http://net/fr/", "http://net/frx", "http://com", "http://com/", "ftp://a.b.org/p#/en/", "http://example.com?/en/", "x://é.com/en/", "a://b://c.com/", "http://www.example.com./en/", "http://.com/x", "http://a..com/x",
