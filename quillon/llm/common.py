@@ -44,15 +44,13 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-
-
-def slices(texts: list, budget: int = 4_000_000):
-    """(start, end) runs of ``texts`` whose lengths sum to about ``budget`` characters, so that one batch of very long texts stays bounded."""
+def slices(sizes, budget: int):
+    """(start, end) of runs whose ``sizes`` sum to about ``budget``, so that one batch of very long texts stays bounded."""
     start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t)
+    for i, n in enumerate(sizes):
+        total += n
         if total >= budget:
             yield start, i + 1
             start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)

@@ -280,6 +280,34 @@ def test_plan_places_every_piece_once(seed):
     assert sum(n for n, _ in planned) >= -(-total // 200)
 
 
+def test_patterns_decide_most_sequences():
+    rng = random.Random(9)
+    counts = {k: rng.randint(20, 60) for k in rng.sample(range(1, 130), 80)}
+    planned = packing.plan(counts, 200)
+    total = sum(k * n for k, n in counts.items())
+    sequences = sum(n for n, _ in planned)
+    assert sequences == -(-total // 200)
+    left = packing.fitted(counts, 200)
+    assert sum(n for n, q in planned if q in left) > 0.8 * sequences
+    assert {tuple(q) for q in packing.triples({5: 1, 3: 1, 2: 1, 6: 1, 4: 1}, 10).tolist()} == {(5, 3, 2), (6, 2, 2), (4, 4, 2), (4, 3, 3)}
+
+
+def test_merging_side_by_side_is_what_the_tokenizer_does():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    t.encode_special_tokens = True
+    rng = random.Random(5)
+    pool = list("abcdeABCÉéßñ İıſ'’\"#$%&()*+,-./:;<=>?@[]^_`{|}~0123456789\t\n\r\x00\x01\x0b\x0c\x1c\x1f\x85\xa0\u2028\u3000e\u0301日本語ΣςÀÿĀſƀɏɐǅ🙂ﬁ\xad\u200b")
+    texts = ["".join(rng.choices(pool, k=rng.randint(0, 30))) for _ in range(3000)]
+    texts += ["".join(rng.choices("abcdeéçÉ.,;:!?' ", k=rng.randint(0, 60))) for _ in range(3000)]
+    texts += ["", " ", "a" * 300 + " b", "x" * 50_000, "don't we'll I'm 's x'S", "<|endoftext|> <|startoftext|>"]
+    got = packing.encoder(packing.tokenizer_path()).texts(pa.array(texts))
+    for text, ids in zip(texts, got, strict=True):
+        assert t.encode(text, add_special_tokens=False).ids == ids.tolist(), text
+
+
 def test_toxicity_learns_and_takes_odd_rows(spark, nothing, docs):
     rng = random.Random(2)
     rows, labels = [], []
