@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,20 +15,34 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one is set only where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``.  Where it is unset, a local master gets one of its own (tests); a cluster gets an error, as
+    executors would write to their own disks."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not got:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         got = "/tmp/checkpoints/quillon"
         spark.sparkContext.setCheckpointDir(got)
     return got.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and a lost executor loses nothing.  :func:`discard` deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete materialized tables that nothing will read again."""
+    for t in tables:
+        if path := getattr(t, "written", None):
+            context = t.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -2,22 +2,17 @@
 
 A text's words are its runs of non-white-space bytes with A-Z lowered; its set holds the 64-bit hashes of its distinct word shingles (the first
 permutation).  A second permutation of 32-bit numbers, circularly shifted by k, gives signature coordinate k: min over the set of pi(x + k mod
-2**32).  ``BANDS`` bands of ``ROWS`` coordinates make buckets; at the threshold 0.8 a pair shares none with a probability below 1e-5.
+2**32).  ``BANDS`` bands of ``ROWS`` coordinates make buckets; at the threshold 0.8 a pair shares none with a probability below 1e-5.  Only
+representatives of equal sets enter buckets, so groups of copies cost one row.
 
-Only representatives of equal sets enter buckets, so groups of copies cost one row.  Links are then found so that no hot bucket is ever expanded
-into all its pairs:
+Representatives that buckets connect form a candidate group (each bucket adds one edge a member, to its least id, so no pairs are made).  Every link lies
+inside one group.  A group's full sets then meet in a bounded task, and postings of its shingles give the exact size of the intersection of one set with all
+the others at once: :func:`spanning` takes set after set until all that were not taken are in one component, so a group of near copies costs few steps, and
+sets that are linked with nothing cost one step each.  At most one link less than a task has rows leaves it.  No pair is left to an estimate.
 
-1. in two rounds, over the bands of ``ROUNDS``, each bucket sends one row per component (at first: per representative) to its least id; each sender keeps
-   the partner it met most often (in the second round, of components, the least one too), as far as their signatures admit the pair, and these pairs
-   are verified on full sets; verified links give components;
-2. only buckets, of all bands, that still hold several components are compared inside by signature bytes.  Rows of a bucket's commonest component are dealt
-   to parts of ``BLOCK`` rows and never meet each other; the other rows visit every part.  A pair is taken up in the first band whose bucket it shares
-   (decided by the keys of the earlier bands, as signature bytes can agree by chance); per pair of components the best few are emitted, at first ``FEW``, then ever more, until every pair that the signatures admit is verified or joined.  So
-   whatever the first step left out is decided exactly.
-
-Signatures admit a pair at ``AGREE`` of its coordinates, 3.7 standard deviations below the expectation for a pair right at the threshold (one in
-10,000 such pairs is missed; the tests and README give measured recall).
-Links are confirmed on the full sets (100 * intersection >= 80 * union), rebuilt from the texts.
+A group of more than ``PART`` shingles is cut into parts.  First each part finds its own links, together with a few sets that visit all parts of their group;
+then the sets that are not in the group's largest component so far, dealt to blocks, visit the other parts.  So a large group that hangs together is
+shipped about once, and one that doesn't is compared block by block; nothing is dropped.
 
 Defined results: a null text counts as empty; a text with fewer words than a shingle is one shingle; without words the set is empty and linked
 with nothing.  Rows without a doc_id are linked with nothing (component_id null, kept).  Rows that share a doc_id pool their links.  Other
@@ -31,21 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import materialize, require
+from .common import discard, materialize, require
 
 BANDS, ROWS = 30, 5
 K = BANDS * ROWS
-AGREE = 102
-BLOCK = 2048
-FEW = 2
-ROUNDS = ((0, 6), (6, 18))
-#: Pairs verified in one group, and rows of buckets compared in one group (about).
-MEMBERS = 500
-CELL_ROWS = 20_000
+#: Shingles (about) of one part of a large group, and of the small groups that share a task.
+PART = 400_000
+#: Sets of a large group that visit all its parts first.
+VISITORS = 8
 #: Up to so many ids are broadcast to pick their texts; beyond that they are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -99,198 +91,175 @@ def bucket_keys(sig: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    small, large = sorted((len(a), len(b)))
-    if not small or 100 * small < percent * large:
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, set_key (equal sets share it), sig, keys."""
+    """Per row: doc_id, n_shingles, set_key (equal sets share it), keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for t in b["text"]:
                 u = shingle_set(t, width)
-                if len(u):
-                    s = signature(u)
-                    rows.append((len(u), xxhash.xxh3_128_digest(u.tobytes()), s.astype(np.uint8).tobytes(), bucket_keys(s)))
-                else:
-                    rows.append((0, None, None, None))
-            out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "sig", "keys"])
+                rows.append((len(u), xxhash.xxh3_128_digest(u.tobytes()), bucket_keys(signature(u))) if len(u) else (0, None, None))
+            out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "keys"])
             out.insert(0, "doc_id", b["doc_id"].array)
             yield out
 
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    kinds = StructType([StructField("doc_id", LongType()), StructField("n_shingles", LongType()), StructField("set_key", BinaryType()), StructField("sig", BinaryType()), StructField("keys", ArrayType(LongType()))])
+    kinds = StructType([StructField("doc_id", LongType()), StructField("n_shingles", LongType()), StructField("set_key", BinaryType()), StructField("keys", ArrayType(LongType()))])
     return t.mapInPandas(run, kinds)
 
 
-def agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with the number of equal coordinates."""
-    p = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-
-    @F.pandas_udf("int")
-    def agree(a: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype="int32")
-        x, y = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(len(s), K) for s in (a, b))
-        return pd.Series((x == y).sum(axis=1).astype("int32"))
-
-    return p.select("a", "b", agree("sa", "sb").alias("agree")).where(F.col("agree") >= AGREE)
-
-
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are linked.  Partners meet their centre in groups of bounded size: its text is shipped once a group, theirs once a pair."""
-    pairs = materialize(pairs.select("a", "b"), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    n = ids.count()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
-    texts = materialize(texts.join(F.broadcast(ids) if n <= MAX_BROADCAST_IDS else ids, "id"), "texts")
-    most, total = pairs.groupBy("a").count().agg(F.max("count"), F.sum("count")).first()
-    salts, groups = -(-(most or 1) // MEMBERS), -(-(total or 1) // MEMBERS)  # a centre with many partners is dealt to several groups
-    group = F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(salts))), F.lit(groups)).cast("int")
-    pairs = pairs.withColumn("g", group)
-    # toDF: fresh columns, as both sides stem from the same tables
-    members = pairs.join(texts.withColumnRenamed("id", "b"), "b").select("g", "a", "b", "text").toDF("g", "a", "b", "text")
-    centres = pairs.select("a", "g").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("g", "a", "text").toDF("g", "a", "text")
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own: dict[int, list[np.ndarray]] = {}
-        for a, t in zip(left["a"].tolist(), left["text"], strict=True):
-            own.setdefault(a, []).append(shingle_set(t, width))
-        hit = [any(linked(x, u, percent) for x in own[a]) for a, u in ((a, shingle_set(t, width)) for a, t in zip(right["a"].tolist(), right["text"], strict=True))]
-        return right.loc[hit, ["a", "b"]] if len(right) else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-
-    links = centres.groupBy("g").cogroup(members.groupBy("g")).applyInPandas(meet, "a long, b long")
-    return materialize(links.distinct(), "links")
+def spanning(sets: list[np.ndarray], comp: np.ndarray, percent: int, visiting: np.ndarray | None = None) -> np.ndarray:
+    """``comp`` (small whole numbers; equal: joined already) after all links among ``sets``.  With ``visiting``, only links between a visiting set and one that isn't
+    are looked for."""
+    comp, n = comp.copy(), len(sets)
+    size = np.fromiter(map(len, sets), dtype=np.int64, count=n)
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    change = np.r_[True, flat[order][1:] != flat[order][:-1]]
+    code = np.empty(len(flat), dtype=np.int64)
+    code[order] = np.cumsum(change) - 1
+    rows = np.repeat(np.arange(n), size)[order]
+    first = np.flatnonzero(change)
+    count = np.diff(np.r_[first, len(flat)])
+    starts = np.cumsum(size) - size
+
+    def take(r: int, others: np.ndarray) -> None:
+        own = code[starts[r] : starts[r] + size[r]]
+        own = own[count[own] > 1]
+        k = count[own]
+        after = np.cumsum(k)
+        both = np.bincount(rows[np.repeat(first[own] - (after - k), k) + np.arange(after[-1] if len(after) else 0)], minlength=n)
+        hit = others & (comp != comp[r]) & (100 * both >= percent * (size[r] + size - both))
+        if hit.any():
+            comp[np.isin(comp, comp[hit])] = comp[r]
+
+    if visiting is not None:
+        for r in np.flatnonzero(visiting):
+            if (comp[~visiting] != comp[r]).any():
+                take(int(r), ~visiting)
+        return comp
+    waiting, everyone = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
+    while True:
+        often = np.bincount(comp[waiting])
+        if (often > 0).sum() < 2:
+            return comp
+        r = int(np.flatnonzero(waiting & (comp != often.argmax()))[0])
+        waiting[r] = False
+        take(r, everyone)
 
 
 def labels(edges: DataFrame) -> DataFrame:
     """id, comp: the least id of each end's component.  Each node points to its least neighbour, pointers are doubled, and the graph is contracted to where
     they point; edges inside a component fall away, so each round works on what is left of the one before."""
     left = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    now = None
+    now, old = None, []
     while True:
         both = left.union(left.select("b", "a"))
-        to = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")), "pointers")
+        to = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))
         to = materialize(to.join(to.toDF("x", "y"), F.col("to") == F.col("x")).select("a", F.col("y").alias("to")), "pointers")
         if now is None:
             now = to.toDF("id", "comp")
         else:
             now = now.join(to, F.col("comp") == F.col("a"), "left").select("id", F.coalesce("to", "comp").alias("comp"))
-        now = materialize(now, "labels")
+        old += [left, to]
         left = left.join(to.toDF("a", "ta"), "a").join(to.toDF("b", "tb"), "b").where("ta <> tb")
         left = materialize(left.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
         if left.isEmpty():
+            now = materialize(now, "labels")
+            discard(left, *old)
             return now
 
 
-def component_of(comp: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """``ids`` with ``column`` replaced by its component so far."""
-    c = comp.toDF("__id", "__comp")
-    return ids.join(c, F.col(column) == F.col("__id"), "left").withColumn(column, F.coalesce("__comp", column)).drop("__id", "__comp")
-
-
-def merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components after new links; only the links between different components so far are followed."""
-    if comp is None:
-        return labels(links)
-    between = component_of(comp, component_of(comp, links.select("a", "b"), "a"), "b").where("a <> b")
-    new = labels(between)
-    single = new.select("id").join(comp.select("id"), "id", "left_anti").select("id", F.col("id").alias("comp"))
-    return materialize(component_of(new, comp.union(single), "comp").select("id", "comp"), "labels")
-
-
-def within_buckets(rows: DataFrame, sigs: DataFrame, few: int) -> DataFrame:
-    """rows: key, band, id, comp; sigs: id, sig, keys (of all bands).  Pairs (a, b) of different components that share a bucket and whose signatures agree: per part and pair of components
-    the ``few`` best, with ``more`` where there were others."""
-    per = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
-    mixed = mixed.select("key", F.col("m.comp").alias("major"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    m = rows.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("minor", F.col("comp") != F.col("major"))
-    everywhere = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
-    m = materialize(m.select("key", "band", F.explode(everywhere).alias("i"), "part", "minor", "id", "comp"), "mixed")
-    cells = max(1, -(-m.count() // CELL_ROWS))
-    # signatures, and the keys of the bands before the row's, travel only to rows of mixed buckets
-    m = m.join(sigs, "id").withColumn("keys", F.slice("keys", F.lit(1), F.col("band"))).withColumn("cell", F.pmod(F.xxhash64("key", "i"), F.lit(cells)).cast("int"))
-
-    def compare(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["key", "band", "i", "id"], ignore_index=True)
-        s = np.frombuffer(b"".join(g["sig"]), dtype=np.uint8).reshape(len(g), K)
-        key, at, ids, comp, part, minor, band = (g[c].to_numpy() for c in ("key", "i", "id", "comp", "part", "minor", "band"))
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (band[1:] != band[:-1]) | (at[1:] != at[:-1])])
-        out = []
-        for lo, hi in zip(starts, np.r_[starts[1:], len(g)], strict=True):
-            found = []
-            before = np.array(g["keys"][lo:hi].tolist(), dtype=np.int64).reshape(hi - lo, band[lo])
-            own = lo + np.flatnonzero(part[lo:hi] == at[lo])  # each row is met in its own part only
-            for r in lo + np.flatnonzero(minor[lo:hi]):
-                cols = own[(comp[own] != comp[r]) & (~minor[own] | (ids[own] > ids[r]))]
-                if len(cols):
-                    n = (s[cols] == s[r]).sum(axis=1)
-                    for x in np.flatnonzero(n >= AGREE):
-                        if not (before[cols[x] - lo] == before[r - lo]).any():
-                            found.append((r, cols[x], n[x]))
-            taken: dict[tuple, int] = {}
-            for r, x, _ in sorted(found, key=lambda f: -f[2]):
-                both = (min(comp[r], comp[x]), max(comp[r], comp[x]))
-                taken[both] = taken.get(both, 0) + 1
-                if taken[both] <= few:
-                    out.append((min(ids[r], ids[x]), max(ids[r], ids[x]), False))
-                elif taken[both] == few + 1:
-                    out.append((min(ids[r], ids[x]), max(ids[r], ids[x]), True))
-        return pd.DataFrame(out, columns=["a", "b", "more"]).astype({"a": "int64", "b": "int64", "more": "bool"})
-
-    return m.groupBy("cell").applyInPandas(compare, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``ids`` (by distinct id) with their texts; documents that share an id have a row each."""
+    t = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
+    return t.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "id")
+
+
+def met(width: int, percent: int, visits: bool = False):
+    """For the rows (comp, id, text, joined, visiting) of one task: a, b, where a is the least id of the rows that links inside a comp join.  ``joined`` are components
+    known so far; with ``visits``, visiting sets are compared with the others only."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for _, own in g.groupby("comp", sort=False):
+            visiting = own["visiting"].to_numpy(dtype=bool)
+            if len(own) < 2 or (visits and not visiting.any()):
+                continue
+            ids = own["id"].to_numpy()
+            _, comp = np.unique(own["joined"].to_numpy(), return_inverse=True)
+            comp = spanning([shingle_set(t, width) for t in own["text"]], comp, percent, visiting if visits else None)
+            order = np.lexsort((ids, comp))
+            start = np.r_[True, comp[order][1:] != comp[order][:-1]]
+            a.append(ids[order][np.flatnonzero(start)[np.cumsum(start) - 1]])
+            b.append(ids[order])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pd.DataFrame({"a": a[a != b], "b": b[a != b]})
+
+    return run
+
+
+def small_links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links a, b of groups that fit one task; several share one."""
+    cells = members.agg(F.ceil(F.sum("n") / PART)).first()[0] or 1
+    t = texts_of(docs, members.select("id", "comp"))
+    t = t.select("comp", "id", "text", F.col("id").alias("joined"), F.lit(False).alias("visiting"), F.pmod(F.xxhash64("comp"), F.lit(cells)).alias("cell"))
+    return t.groupBy("cell").applyInPandas(met(width, percent), "a long, b long")
+
+
+def large_links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links a, b of groups that are cut into parts; members: id, comp, n, parts."""
+    texts = materialize(texts_of(docs, members.select("id")), "texts")
+    members = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    cells = lambda m, visits: m.join(texts, "id").groupBy("comp", "part", "block").applyInPandas(met(width, percent, visits), "a long, b long")
+    chosen = members.withColumn("k", F.row_number().over(Window.partitionBy("comp").orderBy(F.xxhash64("id", F.lit(1)), "id"))).where(F.col("k") <= VISITORS)
+    chosen = chosen.withColumn("own", F.col("part")).select("id", "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), "own").where("part <> own").drop("own")
+    m = members.select("id", "comp", "part").unionByName(chosen)
+    first = materialize(cells(m.select("id", "comp", "part", F.lit(0).alias("block"), F.col("id").alias("joined"), F.lit(False).alias("visiting")), False), "links")
+    known = labels(first) if not first.isEmpty() else None
+    m = members.withColumn("joined", F.col("id")) if known is None else members.join(known.toDF("id", "j"), "id", "left").withColumn("joined", F.coalesce("j", "id")).drop("j")
+    weights = m.groupBy("comp", "joined").agg(F.sum("n").alias("w"))
+    most = weights.groupBy("comp").agg(F.max(F.struct("w", "joined")).alias("x"), F.sum("w").alias("w"))
+    most = most.select("comp", F.col("x.joined").alias("main"), F.ceil((F.col("w") - F.col("x.w")) / PART).alias("blocks"))
+    m = materialize(m.join(most, "comp").where("blocks > 0"), "members")  # groups that are not one component yet
+    stay = m.select("id", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), "joined", F.lit(False).alias("visiting"))
+    go = m.where("joined <> main").withColumn("own", F.col("part")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("int"))
+    go = go.select("id", "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), "block", "joined", F.lit(True).alias("visiting"), "own").where("part <> own").drop("own")
+    second = materialize(cells(stay.unionByName(go), True), "links")
+    discard(texts, known, m)
+    return first.union(second)
+
+
+def links(docs: DataFrame, signs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """id, comp of all representatives that are linked; None if nothing shares a bucket."""
+    every = reps.select(F.explode("keys").alias("key"), "id")
+    shared = every.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key", "lo")
+    edges = every.join(shared, "key").where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
+    # a document id with several texts ties their classes
+    several = signs.where("set_key is not null and doc_id is not null").groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x <> y").select("doc_id")
+    ties = signs.join(several, "doc_id").join(reps.select("set_key", "id"), "set_key").where("id <> doc_id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    ties = materialize(ties.distinct(), "ties")
+    groups = labels(edges)
+    members = groups.join(reps.groupBy("id").agg(F.sum("n_shingles").alias("n")), "id").select("id", "comp", "n")
+    sizes = members.groupBy("comp").agg(F.ceil(F.sum("n") / PART).cast("int").alias("parts"))
+    members = materialize(members.join(sizes, "comp"), "members")
+    found = small_links(docs, members.where("parts <= 1"), width, percent)
+    large = members.where("parts > 1")
+    if not large.isEmpty():
+        found = found.union(large_links(docs, large, width, percent))
+    out = labels(found.union(ties))
+    discard(members, groups, ties)
+    return out
 
 
 def components(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the least doc_id that links reach), kept."""
     require(docs, "doc_id", "text")
     signs = materialize(signed(docs, width), "signatures")
-    reps = signs.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "sig", "keys")).alias("r"))
-    reps = materialize(reps.select("set_key", F.col("r.doc_id").alias("id"), "r.sig", "r.keys"), "classes")
-    sigs = reps.select("id", "sig")
-    none = signs.sparkSession.createDataFrame([], "a long, b long")
-    tried, comp = none, None
-    # only buckets that several representatives share matter; the many others are left out once
-    every = reps.select(F.posexplode("keys").alias("band", "key"), "id")
-    shared = every.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-    buckets = materialize(every.join(shared, "key").select("key", "band", "id"), "buckets")
-
-    def rows(first: int, last: int) -> DataFrame:
-        """The rows of a range of bands, each with its component so far."""
-        r = buckets.where(F.col("band").between(first, last - 1)).withColumn("comp", F.col("id"))
-        return r if comp is None else component_of(comp, r, "comp")
-
-    def take_up(fresh: DataFrame) -> None:
-        nonlocal tried, comp
-        tried = tried.union(fresh.select("a", "b"))
-        comp = merged(comp, verified(fresh, docs, width, percent))
-
-    for first, last in ROUNDS:
-        sent = rows(first, last).groupBy("key", "comp").agg(F.min("id").alias("b"))
-        least = sent.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-        met = sent.join(least, "key").where("a <> b").groupBy("b", "a").agg(F.count("*").alias("n"))
-        best = met.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("x"), F.min("a").alias("y"))
-        both = F.array(-F.col("x.a")) if comp is None else F.array_distinct(F.array(-F.col("x.a"), F.col("y")))
-        best = best.select("b", F.explode(both).alias("a"))
-        take_up(materialize(agreement(best, sigs).select("a", "b"), "pairs"))
-    few = FEW
-    while True:
-        cross = materialize(within_buckets(rows(0, BANDS), reps.select("id", "sig", "keys"), few), "cross")
-        fresh = materialize(cross.join(tried, ["a", "b"], "left_anti"), "fresh")
-        if not fresh.isEmpty():
-            take_up(fresh)
-        # pairs that were held back matter only where their components are still apart
-        rest = cross.where("more").join(comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
-        if rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).isEmpty():
-            break
-        few *= 32
+    reps = signs.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("r"))
+    reps = materialize(reps.select("set_key", F.col("r.doc_id").alias("id"), "r.n_shingles", "r.keys"), "classes")
+    comp = links(docs, signs, reps, width, percent)
     classes = reps.select("set_key", "id").join(comp, "id", "left").select("set_key", F.coalesce("comp", "id").alias("comp"))
     out = signs.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     component = F.when(F.col("set_key").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("comp"))

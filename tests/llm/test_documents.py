@@ -165,36 +165,43 @@ def test_near_dups_against_all_pairs(docs, nothing, spark):
     assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 2
 
 
-def test_blocks_inside_buckets_find_what_stars_miss(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 4)
+def test_large_groups_are_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PART", 1000)
+    monkeypatch.setattr(minhash, "VISITORS", 1)
     rng = random.Random(5)
     base = sentence(rng, 200).split()
     rows = []
-    for i in range(25):
+    for i in range(60):  # many are linked through others only, some not at all
         w = [*base]
-        for k in range(4):
-            w[(i * 8 + k * 50) % 200] = f"v{i}{k}"
+        for k in range(4 + i % 7):
+            w[(i * 8 + k * 23) % 200] = f"v{i}{k}"
         rows.append((i, " ".join(w)))
+    w = sentence(rng, 150).split()
+    for i in range(40):  # a chain over several parts
+        w = [*w]
+        w[(i * 37) % 150] = f"new{i}"
+        rows.append((200 - i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert by_id(minhash.components(df), "n_shingles", "component_id", "kept") == sorted(brute_near(rows, 4, 80), key=str)
-
-
-def test_pairs_whose_bytes_agree_by_chance_in_an_earlier_band_are_found(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "ROUNDS", ((0, 0), (0, 0)))  # nothing is linked before buckets are compared inside
-    rng = random.Random(6)
-    rows = []
-    for _ in range(4000):
-        w = [f"w{rng.randrange(10**9)}" for _ in range(180)]
-        v = [*w[:-16], *(f"v{rng.randrange(10**9)}" for _ in range(16))]
-        s, t = (minhash.signature(minhash.shingle_set(" ".join(x), 4)) for x in (w, v))
-        bands = (s.astype(np.uint8) == t.astype(np.uint8)).reshape(minhash.BANDS, minhash.ROWS).all(axis=1)
-        if bands.argmax() < (minhash.bucket_keys(s) == minhash.bucket_keys(t)).argmax():
-            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(v))]
-        if len(rows) >= 6:
-            break
-    assert len(rows) >= 6
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert by_id(minhash.components(df), "n_shingles", "component_id", "kept") == sorted(brute_near(rows, 4, 80), key=str)
+    want = sorted(brute_near(rows, 4, 80), key=str)
+    assert len({r[2] for r in want}) > 2
+    assert by_id(minhash.components(df), "n_shingles", "component_id", "kept") == want
+
+
+def test_spanning_takes_few_sets_of_a_group_that_hangs_together():
+    rng = random.Random(8)
+    base = [rng.getrandbits(63) for _ in range(300)]
+    sets = [np.unique(np.array([*base[:-9], *(rng.getrandbits(63) for _ in range(9))], dtype=np.uint64)) for _ in range(200)]
+    far = [np.array(sorted(rng.getrandbits(63) for _ in range(50)), dtype=np.uint64) for _ in range(3)]
+    comp = minhash.spanning([*far, *sets], np.arange(203), 80)
+    assert len(set(comp[3:].tolist())) == 1 and len(set(comp.tolist())) == 4
+    some = minhash.spanning([*far, *sets], np.arange(203), 80, np.arange(203) == 3)
+    assert (some[3:] == some[3]).all() and len(set(some.tolist())) == 4
+
+
+def test_ids_with_several_texts_tie_their_classes(spark):
+    a, b = "one two three four five six seven eight", "red green blue white black brown pink grey"
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (3, b), (9, "x y z")], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in minhash.components(df).collect()} == {(1, 1), (5, 1), (3, 1), (9, 9)}
 
 
 def brute_lines(rows, noise, guarantee):
