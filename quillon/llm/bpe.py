@@ -7,7 +7,7 @@ ids to the tokens' bytes and concatenates the pieces.
 
 Words repeat: the most frequent ones (at most ``MAX_KNOWN``, by counts over the whole corpus) are folded and decoded once and broadcast as a table of
 bounded size.  Texts are cut where they lie and never shuffled (Arrow batches, the tokenizer's own pattern): runs of known words become their codes,
-any other word stays a word between them and is folded by the same expression.
+any other word (nearly all of these occur once) stays a word between them and is folded by the same expression.
 
 Defined results: a null text counts as empty; an empty text has no ids, and both digests are those of no bytes; repeated rows are encoded alike;
 other columns are ignored.
@@ -17,20 +17,25 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
-from .common import materialize, require, text_or_empty
+from .common import discard, materialize, require, slices, text_or_empty
 
-#: For counting words on the JVM: the tokenizer's pattern with Unicode white space spelled out, as Java's ``\s`` is ASCII only.
-SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}++| ?\p{{N}}++| ?[^{SPACE}\p{{L}}\p{{N}}]++|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-MAX_KNOWN = 1 << 17
+#: The tokenizer's pattern for characters below U+0250: letters, numbers, and white space written out.
+LETTERS, NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+PLAIN_WORD = rf" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
+#: Words known beforehand (some 50 bytes each, in Arrow's layout), and bytes of text that are cut at once.
+MAX_KNOWN = 1 << 20
+SLICE = 6_000_000
 NONE = 1 << 62
 
 
@@ -136,14 +141,33 @@ class Merger:
         return F.array_join(F.transform(ids, lambda i: F.get(pieces, i.cast("int"))), "")
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+def cutter(pattern: str):
+    """text -> its words.  The tokenizer's own pattern has a quicker twin for texts of characters below U+0250."""
+    import public_tokenizers
+
+    general = regex.compile(pattern).findall
+    if pattern != public_tokenizers.PATTERN:
+        return general
+    other, plain = re.compile(f"[^\t-\r -~\x85\xa0-\u024f]").search, re.compile(PLAIN_WORD).findall
+    return lambda text: general(text) if other(text) else plain(text)
+
+
+def word_counts(texts: DataFrame, pattern: str) -> DataFrame:
+    """w, n: how often each word occurs; counted by slices of texts first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = cutter(pattern)
+        for b in batches:
+            for start, end in slices(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).tolist(), SLICE):
+                found = pc.value_counts(pa.array([w for t in b.column("text").slice(start, end - start).to_pylist() for w in cut(t)], pa.string()))
+                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["w", "n"])
+
+    return texts.select("text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def known_words(texts: DataFrame, merger: Merger, most: int = MAX_KNOWN) -> dict[str, tuple[bytes, bytes]]:
-    """At most ``most`` words, the most frequent, with their ids (little-endian, four bytes each) and the bytes that these decode to."""
-    counts = texts.select(F.explode(words(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    counts = materialize(counts.where("n > 1 and octet_length(w) <= 64").select("w", F.floor(8 * F.log2("n")).cast("int").alias("level")), "words")
+def known_words(texts: DataFrame, merger: Merger, pattern: str, most: int = MAX_KNOWN) -> pa.Table:
+    """At most ``most`` words, the most frequent, with their ids (little-endian, four bytes each) and the bytes that these decode to; all three by Spark expressions."""
+    counts = materialize(word_counts(texts, pattern).where("n > 1 and octet_length(w) <= 64").select("w", F.floor(8 * F.log2("n")).cast("int").alias("level")), "words")
     kept, least = 0, None
     for r in sorted(counts.groupBy("level").count().collect(), key=lambda r: -r["level"]):  # a few hundred levels at most
         kept += r["count"]
@@ -151,33 +175,70 @@ def known_words(texts: DataFrame, merger: Merger, most: int = MAX_KNOWN) -> dict
             break
         least = r["level"]
     chosen = counts.where(F.lit(False) if least is None else F.col("level") >= least)
-    rows = chosen.select("w", merger.coded(F.col("w")).alias("c")).select("w", F.unhex("c.i").alias("i"), F.unhex("c.d").alias("d")).toLocalIterator()  # ``most`` rows at most
-    return {r["w"]: (bytes(r["i"]), bytes(r["d"])) for r in rows}
-
-
-def segments(texts: DataFrame, known: dict[str, tuple[bytes, bytes]], pattern: str) -> DataFrame:
-    """doc_id, s: an array of structs, each the codes (i) and bytes (d) of a run of known words and the word (w) after it that isn't known; null after the last."""
-    shared = texts.sparkSession.sparkContext.broadcast(known)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get, cut = shared.value.get, regex.compile(pattern).findall
+    out = chosen.select("w", merger.coded(F.col("w")).alias("c")).select("w", F.unhex("c.i").alias("i"), F.unhex("c.d").alias("d")).toArrow()  # ``most`` rows at most
+    discard(counts)
+    return out.combine_chunks()
+
+
+def packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def column(table: pa.Table, name: str, kind: pa.DataType) -> pa.Array:
+    chunks = table.column(name).cast(kind).chunks
+    return pa.concat_arrays(chunks) if chunks else pa.array([], kind)
+
+
+def segmented(texts: pa.Array, cut, known: pa.Table) -> pa.Array:
+    """For each text an array of structs: the codes (i) and bytes (d) of a run of known words and the word (w) after it that isn't known; null after the last."""
+    found = [cut(t) for t in texts.to_pylist()]
+    sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    coded = pa.array([w for ws in found for w in ws], pa.string()).dictionary_encode()
+    del found
+    place = pc.fill_null(pc.index_in(coded.dictionary, value_set=column(known, "w", pa.string())), -1).to_numpy(zero_copy_only=False)
+    place = place[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, dtype=np.int64)
+    doc_ends, unknown = np.cumsum(sizes), np.flatnonzero(place < 0)
+    # a segment ends at each unknown word and after each text's last word
+    order = np.argsort(np.r_[2 * unknown + 1, 2 * doc_ends], kind="stable")
+    ends = np.r_[unknown, doc_ends][order]
+
+    def runs(name: str) -> pa.Array:
+        c = column(known, name, pa.binary())
+        offsets = np.frombuffer(c.buffers()[1], dtype=np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64) if len(c) else np.zeros(1, dtype=np.int64)
+        own = place[place >= 0]
+        size = np.zeros(len(place), dtype=np.int64)
+        size[place >= 0] = k = np.diff(offsets)[own]
+        after = np.cumsum(k)
+        data = np.frombuffer(c.buffers()[2] or b"", dtype=np.uint8) if len(c) else np.zeros(0, dtype=np.uint8)
+        flat = data[np.repeat(offsets[:-1][own] - (after - k), k) + np.arange(after[-1] if len(after) else 0)]
+        at = np.r_[0, np.r_[0, np.cumsum(size)][ends]].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(at), pa.py_buffer(flat)])
+
+    rank = np.where(order < len(unknown), order, -1)
+    rest = coded.take(pa.array(unknown)).dictionary_decode() if len(unknown) else pa.array([], pa.string())
+    w = rest.take(pa.array(np.maximum(rank, 0), mask=rank < 0))
+    each = pa.StructArray.from_arrays([runs("i"), runs("d"), w], ["i", "d", "w"])
+    doc = np.searchsorted(doc_ends, unknown, side="right")
+    lists = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(sizes)) + 1)].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(lists), each)
+
+
+def segments(texts: DataFrame, known: pa.Table, pattern: str) -> DataFrame:
+    """doc_id, s (see :func:`segmented`)."""
+    shared = texts.sparkSession.sparkContext.broadcast(packed(known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, cut = pa.ipc.open_stream(shared.value).read_all(), cutter(pattern)
         for b in batches:
-            out = []
-            for t in b["text"]:
-                found, ids, data = [], [], []
-                for w in cut(t):
-                    if c := get(w):
-                        ids.append(c[0])
-                        data.append(c[1])
-                    else:
-                        found.append({"i": b"".join(ids), "d": b"".join(data), "w": w})
-                        ids, data = [], []
-                found.append({"i": b"".join(ids), "d": b"".join(data), "w": None})
-                out.append(found)
-            yield pd.DataFrame({"doc_id": b["doc_id"].array, "s": out})
+            for start, end in slices(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).tolist(), SLICE):
+                part = b.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), segmented(part.column("text"), cut, table)], ["doc_id", "s"])
 
     each = StructType([StructField("i", BinaryType()), StructField("d", BinaryType()), StructField("w", StringType())])
-    return texts.mapInPandas(run, StructType([texts.schema["doc_id"], StructField("s", ArrayType(each))]))
+    return texts.mapInArrow(run, StructType([texts.schema["doc_id"], StructField("s", ArrayType(each))]))
 
 
 def encode(docs: DataFrame, path: str | None = None, most: int = MAX_KNOWN, pattern: str | None = None) -> DataFrame:
@@ -187,7 +248,7 @@ def encode(docs: DataFrame, path: str | None = None, most: int = MAX_KNOWN, patt
         from public_tokenizers import PATTERN as pattern
     merger = Merger(path)
     t = docs.select("doc_id", text_or_empty().alias("text"))
-    t = segments(t, known_words(t, merger, most), pattern)
+    t = segments(t, known_words(t, merger, pattern, most), pattern)
     rest = F.transform("s", lambda x: F.struct(x["i"].alias("i"), x["d"].alias("d"), F.when(x["w"].isNotNull(), merger.coded(x["w"])).alias("c")))
     t = t.select("doc_id", rest.alias("s"))
     whole = lambda k: F.array_join(F.transform("s", lambda x: F.concat(F.hex(x[k]), F.coalesce(x["c"][k], F.lit("")))), "")
