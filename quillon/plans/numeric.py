@@ -103,9 +103,9 @@ def part_softmax(spark, sf):
     return table(spark, sf, "part").select("p_partkey", V.softmax(z, 0.8).alias("p"))
 
 
-@query(f"WITH {SOFT} SELECT p_partkey, cast(list_position(p, list_max(p)) - 1 AS INTEGER) AS choice, round(list_max(p), 6) AS p_max FROM p")
+@query(f"WITH {SOFT}, r AS (SELECT p_partkey, list_transform(p, lambda x: round(x, 9)) AS p FROM p) SELECT p_partkey, cast(list_position(p, list_max(p)) - 1 AS INTEGER) AS choice, round(list_max(p), 6) AS p_max FROM r")
 def softmax_argmax(spark, sf):
-    p = part_softmax(spark, sf)
+    p = part_softmax(spark, sf).withColumn("p", F.transform("p", lambda x: F.round(x, 9)))  # the first of entries that tie up to rounding
     return p.select("p_partkey", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("choice"), F.round(F.array_max("p"), 6).alias("p_max"))
 
 
