@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+
 import pytest
 
 from quillon.llm import maxscore, urlfilter
@@ -32,6 +34,20 @@ def test_top_k_against_brute_force(spark):
     assert maxscore.search(few.limit(0)).count() == 0
 
 
+def test_non_essential_terms_are_probed_for_few_rows():
+    order, m = maxscore.non_essential(np.array([5.0, 1.0, 2.0, 9.0]), 4.0)
+    assert order.tolist() == [1, 2, 0, 3] and m == 2 and maxscore.non_essential(np.array([1.0, 2.0]), 3.0)[1] == 1 and maxscore.non_essential(np.array([1.0]), -np.inf)[1] == 0
+    rng = np.random.default_rng(3)
+    v = (rng.normal(size=(5000, 24)) * np.r_[np.full(4, 400.0), np.full(20, 4.0)]).astype(np.int64)
+    ids, q = np.arange(5000), v[:20]
+    scores = q @ v.T
+    scores[np.arange(20), np.arange(20)] = -(2**40)
+    floors, probes = np.sort(scores[:, :1000], axis=1)[:, -10].tolist(), []
+    for qid, found, best in maxscore.top_k_shard(ids[:20], q, ids, v, 10, floors, probes):
+        assert found.tolist() == sorted(range(5000), key=lambda i: (-scores[qid][i], i))[:10] and best.tolist() == scores[qid][found].tolist()
+    assert min(m for m, _ in probes) >= 15 and sum(n for _, n in probes) / len(probes) < 2000  # of 5000 rows
+
+
 def test_top_k_of_large_components(spark):
     rows = [(0, [1.0, 1.0]), (1, [200000.0, 0.0]), (2, [150000.0, 1.0]), (3, [-300000.5, 5.0]), (4, [140000.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
