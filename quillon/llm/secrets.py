@@ -1,7 +1,7 @@
 """Secret scans: patterns, and character Markov models compared by log-likelihood ratio.
 
 Base spans come from three patterns (assigned values, access keys, long hexadecimal runs).  The method adds spans of kind ``random``: runs of
-token characters that a second-order character Markov chain of random strings explains better than one of ordinary identifiers, by at least
+token characters outside of base spans (or parts of such runs between slashes and equals signs) that a second-order character Markov chain of random strings explains better than one of ordinary identifiers, by at least
 ``MIN_RATIO`` nats a character.  Both chains are trained from labelled samples made here with a fixed seed: random base-64, base-62, base-32 and
 hexadecimal strings on one side; camel-case, snake-case and numbered identifiers from pronounceable syllables on the other.
 
@@ -32,6 +32,8 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 KINDS = {"assign": 0, "access": 1, "hex": 2, "random": 3}
 MIN_LONG = 20
 MIN_RATIO = 0.6
+MIN_LETTERS = 1.2
+PART = re.compile("[^/=]+")
 SAMPLES = 4000
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -99,7 +101,20 @@ def ratio(run: str) -> float:
 
 
 def looks_random(run: str) -> bool:
-    return any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and ratio(run) >= MIN_RATIO
+    """Letters and digits together at ``MIN_RATIO``; letters alone only in both cases and at ``MIN_LETTERS``, as rare words of one case come near random ones."""
+    if not any(c.isalpha() for c in run):
+        return False
+    if any(c.isdigit() for c in run):
+        return ratio(run) >= MIN_RATIO
+    return any(c.isupper() for c in run) and any(c.islower() for c in run) and ratio(run) >= MIN_LETTERS
+
+
+def random_parts(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    """A run that looks random, or else those of its parts between slashes and equals signs that do."""
+    if looks_random(text[start:end]):
+        return [(start, end, "random")]
+    parts = [(start + m.start(), start + m.end()) for m in PART.finditer(text[start:end])]
+    return [(s, e, "random") for s, e in parts if (s, e) != (start, end) and e - s >= MIN_LONG and looks_random(text[s:e])]
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -107,7 +122,6 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     spans = []
     if "=" in text or ":" in text:
         spans = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
-    base_end = 0
     at = 0
     found = []
     # A key or a long run has no white space in it, so only long chunks are looked at.
@@ -117,17 +131,28 @@ def scan(text: str) -> list[tuple[int, int, str]]:
             own = [(at + m.start(), at + m.end(), "access") for m in ACCESS.finditer(chunk) if m.end() - m.start() >= 20]
             own += [(at + m.start(), at + m.end(), "hex") for m in HEX.finditer(chunk)]
             spans += own
-            found += [(at + m.start(), at + m.end(), m[0]) for m in RUN.finditer(chunk)]
+            found += [(at + m.start(), at + m.end()) for m in RUN.finditer(chunk)]
             at += len(chunk)
     spans.sort(key=lambda s: (s[0], KINDS[s[2]]))
     if found:
-        base, i = list(spans), 0
-        for s, e, run in found:
-            while i < len(base) and base[i][1] <= s and base[i][0] < s:
-                base_end = max(base_end, base[i][1])
+        base, i, new = sorted((s, e) for s, e, _ in spans), 0, []
+        reach = 0  # no base span that was passed ends later
+        for s, e in found:
+            # what no base span covers of a run is judged
+            free = s
+            while i < len(base) and base[i][1] <= s:
+                reach = max(reach, base[i][1])
                 i += 1
-            if base_end <= s and (i >= len(base) or base[i][0] >= e) and looks_random(run):
-                spans.append((s, e, "random"))
+            j = i
+            free = max(free, min(reach, e))
+            while j < len(base) and base[j][0] < e:
+                if base[j][0] - free >= MIN_LONG:
+                    new += random_parts(text, free, base[j][0])
+                free = max(free, base[j][1])
+                j += 1
+            if e - free >= MIN_LONG:
+                new += random_parts(text, free, e)
+        spans += new
         spans.sort(key=lambda s: (s[0], KINDS[s[2]]))
     return spans
 

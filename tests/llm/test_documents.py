@@ -130,6 +130,57 @@ def test_markov_ratio_separates_fresh_samples():
     assert hits > 0.98 and false < 0.002
 
 
+def test_random_parts_of_runs():
+    rng = random.Random(77)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    key, mixed = "".join(rng.choices(letters + "0123456789", k=32)), "".join(rng.choices(letters, k=40))
+    found = lambda t: [(k, t[s:e]) for s, e, k in secrets.scan(t)]
+    assert found(f"see {mixed} here") == [("random", mixed)]
+    assert found(f"/usr/local/share/documents/archive/collections/of/letters/{key}") == [("random", key)]
+    assert found("abcdef012345abcdef012345" + "G" + key)[1:] == [("random", "G" + key)]  # a hexadecimal run before it is a base span
+    assert found("theQuickBrownFoxJumpsOverTheLazyDog") == [] and found("eineinkeitchzukeitheit") == []
+
+
+def test_merkle_likeness_against_plain_trees(spark):
+    import re
+
+    def tree(t):
+        sections, open_ = [], []
+        for line in t.split("\n"):
+            leaves = [hashlib.sha256(x.encode()).hexdigest() for x in re.findall(merkle.LEAF, line)]
+            d = hashlib.sha256("".join(leaves).encode()).hexdigest()
+            open_.append((d, tuple(x[:8] for x in leaves)))
+            if d[0] in "01":
+                sections.append(tuple(open_))
+                open_ = []
+        sections += [tuple(open_)] if open_ else []
+        digests = [hashlib.sha256("".join(d for d, _ in s).encode()).hexdigest() for s in sections]
+        return hashlib.sha256("".join(digests).encode()).hexdigest(), sections
+
+    def like(a, b):
+        (ra, sa), (rb, sb) = tree(a), tree(b)
+        if ra == rb:
+            return 1.0
+        n = sum(len(x) for s in set(sa) & set(sb) for _, x in s)
+        pa, pb = ({p for s in set(x) - set(y) for p in s} for x, y in ((sa, sb), (sb, sa)))
+        n += sum(len(x) for _, x in pa & pb)
+        la, lb = ({x for _, xs in p - q for x in xs} for p, q in ((pa, pb), (pb, pa)))
+        return 2 * (n + len(la & lb)) / total if (total := 2 * n + len(la) + len(lb)) else 0.0
+
+    rng = random.Random(12)
+    lines = ["", "one, two; three.", *(sentence(rng, rng.randint(2, 30)).replace("e", "e,", 2) for _ in range(60))]
+    texts = ["", "\n", "a", *("\n".join(rng.choices(lines, k=rng.randint(1, 40))) for _ in range(60))]
+    for i in range(40):
+        x = rng.choice(texts[3:]).split("\n")
+        x[rng.randrange(len(x))] = rng.choice(lines) + "!"
+        texts.append("\n".join(x))
+    pairs = [(i, rng.choice(texts), rng.choice(texts)) for i in range(150)] + [(200 + i, t, u) for i, (t, u) in enumerate(zip(texts, texts[1:], strict=False))] + [(500, texts[9], texts[9])]
+    df = spark.createDataFrame(pairs, "id long, a string, b string")
+    df = merkle.with_likeness(merkle.with_fingerprint(merkle.with_fingerprint(df, "a", "x"), "b", "y"), "x", "y", "near")
+    for r in df.collect():
+        assert r["x"].split("/")[0] == tree(r["a"])[0] and abs(r["near"] - like(r["a"], r["b"])) < 1e-12, (r["a"], r["b"])
+
+
 def test_merkle_twins(docs, nothing):
     rows = sorted((r for r in corpus() if r[0] is not None), key=lambda r: r[0])
     got = {r["doc_id"]: r for r in merkle.edited_twins(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).collect()}
