@@ -28,14 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
-from .common import discard, materialize, require, slices, text_or_empty
+from .common import discard, materialize, require, slices, text_or_empty, trim
 
 #: The tokenizer's pattern for characters below U+0250: letters, numbers, and white space written out.
 LETTERS, NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
 PLAIN_WORD = rf" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
 #: Words known beforehand (some 50 bytes each, in Arrow's layout), and bytes of text that are cut at once.
 MAX_KNOWN = 1 << 20
-SLICE = 6_000_000
+SLICE = 4_000_000
 NONE = 1 << 62
 
 
@@ -161,6 +161,7 @@ def word_counts(texts: DataFrame, pattern: str) -> DataFrame:
             for start, end in slices(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).tolist(), SLICE):
                 found = pc.value_counts(pa.array([w for t in b.column("text").slice(start, end - start).to_pylist() for w in cut(t)], pa.string()))
                 yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["w", "n"])
+            trim()
 
     return texts.select("text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
@@ -236,6 +237,7 @@ def segments(texts: DataFrame, known: pa.Table, pattern: str) -> DataFrame:
             for start, end in slices(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).tolist(), SLICE):
                 part = b.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), segmented(part.column("text"), cut, table)], ["doc_id", "s"])
+            trim()
 
     each = StructType([StructField("i", BinaryType()), StructField("d", BinaryType()), StructField("w", StringType())])
     return texts.mapInArrow(run, StructType([texts.schema["doc_id"], StructField("s", ArrayType(each))]))

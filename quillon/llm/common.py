@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
 
@@ -69,3 +71,15 @@ def slices(sizes, budget: int):
             start, total = i + 1, 0
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task, and what its allocators keep would count against the executor."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass

@@ -26,11 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require
+from .common import require, trim
 
 NOISE = 20
 GUARANTEE = 40
 SALTS = 8
+#: Documents whose fingerprints are held at once.
+DOCS = 500
 
 
 def lines_of(text: str) -> tuple[list[int], list[int], list[int]]:
@@ -94,17 +96,22 @@ def extended(own: np.ndarray, i: int, other: np.ndarray, j: int) -> tuple[int, i
 def repeated_runs(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTEE) -> DataFrame:
     """Per document (by __id and __tie) with later repeated runs: ``runs``, an array of (first, last) numbers among its lines that aren't blank."""
 
+    def of(b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for i, tie, t in zip(b["__id"].tolist(), b["__tie"].tolist(), b["text"].tolist(), strict=True):
+            _, hashes, words = lines_of(t)
+            h = np.array(hashes, dtype=np.uint64)
+            before, after = reach(words[::-1], guarantee)[::-1], reach(words, guarantee)
+            for s, e in selected(hashes, words, noise, guarantee):
+                low, high = len(words) - before[s - 1] if s else 0, after[e] if e < len(words) else e
+                out.append((signed(xxhash.xxh3_64_intdigest(h[s:e].tobytes())), i, tie, s, s - low, h[low:high].view(np.int64)))
+        return pd.DataFrame(out, columns=["gram", "__id", "__tie", "line", "off", "near"])
+
     def fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for i, tie, t in zip(b["__id"].tolist(), b["__tie"].tolist(), b["text"].tolist(), strict=True):
-                _, hashes, words = lines_of(t)
-                h = np.array(hashes, dtype=np.uint64)
-                before, after = reach(words[::-1], guarantee)[::-1], reach(words, guarantee)
-                for s, e in selected(hashes, words, noise, guarantee):
-                    low, high = len(words) - before[s - 1] if s else 0, after[e] if e < len(words) else e
-                    out.append((signed(xxhash.xxh3_64_intdigest(h[s:e].tobytes())), i, tie, s, s - low, h[low:high].view(np.int64)))
-            yield pd.DataFrame(out, columns=["gram", "__id", "__tie", "line", "off", "near"])
+            for at in range(0, len(b), DOCS):
+                yield of(b.iloc[at : at + DOCS])
+            trim()
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -112,6 +119,7 @@ def repeated_runs(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTE
             back, on = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1))
             line = b["line"].to_numpy()
             yield pd.DataFrame({"__id": b["__id"], "__tie": b["__tie"], "first": line - back, "last": line + on - 1})
+        trim()
 
     f = docs.where("text is not null").mapInPandas(fingerprints, "gram long, __id long, __tie long, line long, off long, near array<long>")
     order = F.struct("__id", "__tie", "line", "off", "near")
@@ -147,6 +155,7 @@ def dedup(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTEE, count
     @F.pandas_udf("text string, n_lines long, n_deleted long")
     def cut(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
         rows = [(None, 0, 0) if t is None else (t, sum(not x.isspace() and x != "" for x in t.split("\n")), 0) if r is None or not len(r) else without(t, r) for t, r in zip(texts, found, strict=True)]
+        trim()
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_deleted"])
 
     out = k.join(runs, ["__id", "__tie"], "left").withColumn("__cut", cut(F.col("text").cast("string"), "__runs"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import discard, materialize, require
+from .common import discard, materialize, require, trim
 
 BANDS, ROWS = 30, 5
 K = BANDS * ROWS
@@ -103,6 +103,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
             out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "keys"])
             out.insert(0, "doc_id", b["doc_id"].array)
             yield out
+            trim()
 
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kinds = StructType([StructField("doc_id", LongType()), StructField("n_shingles", LongType()), StructField("set_key", BinaryType()), StructField("keys", ArrayType(LongType()))])
@@ -195,6 +196,7 @@ def met(width: int, percent: int, visits: bool = False):
             a.append(ids[order][np.flatnonzero(start)[np.cumsum(start) - 1]])
             b.append(ids[order])
         a, b = np.concatenate(a), np.concatenate(b)
+        trim()
         return pd.DataFrame({"a": a[a != b], "b": b[a != b]})
 
     return run

@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import materialize, partitions, require, slices
+from .common import materialize, partitions, require, slices, trim
 
 CAPACITY = 2048
 #: Bytes of text that are cut at once; word lengths in bytes that are merged side by side (longer ones go to the tokenizer), and so many at a time.
-SLICE = 8_000_000
+SLICE = 4_000_000
 WIDTHS = (4, 6, 8, 10, 12, 16, 24, 48)
 LONGEST = WIDTHS[-1]
 BLOCK = 16_384
@@ -233,6 +233,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
             columns = zip(*rows, strict=True) if rows else [[], [], [], []]
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(who, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            trim()
 
     t = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kinds = StructType([t.schema["doc_id"], StructField("piece", IntegerType()), StructField("start", LongType()), StructField("length", LongType()), StructField("ids_crc32", LongType())])

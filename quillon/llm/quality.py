@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, require
+from .common import materialize, require, trim
 
 MAX_FIT = 8_000
 RIDGE = 1e-2
@@ -107,6 +107,7 @@ def evidence(docs: DataFrame, weights: np.ndarray, host: str = "source", path: s
         if not len(texts):
             return pd.Series([], dtype="float64")
         z = expand(np.array([features(t) for t in texts])) @ weights
+        trim()
         return pd.Series(np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-4, 1 - 1e-4))
 
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import require
+from .common import require, trim
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -204,6 +204,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: blot(t, mark), na_action="ignore")
+        out = texts.map(lambda t: blot(t, mark), na_action="ignore")
+        trim()
+        return out
 
     return docs.withColumn("text", clean(F.col("text").cast("string")))
