@@ -71,4 +71,48 @@ def stability(df: DataFrame, keys: list[str], predicted: str, p: str) -> DataFra
     return means.join(spread, keys).select(*keys, "n", (F.col("__lo") == F.col("__hi")).alias("same"), "spread")
 
 
-__all__ = ["answer_metrics", "noul_metrics", "summary", "ece", "auroc", "selective", "total_variation", "stability"]
+def evaluation(df: DataFrame, group: str, kind: str, ties: list[str]) -> DataFrame:
+    """All measures of judged answers by group, by kind and overall: cut (group, kind, all), name, n, accuracy (right and valid), nll, brier, ece10, ece15,
+    validity, strict, tvd, mae, selective, auroc (null without both truths).
+
+    df: correct, valid, strict, nll, brier, tvd, mae, confidence, p, y.  The three cuts are three copies of a narrow row, so that one pass serves them all;
+    ranks go by bins (see operators.ranking), so the overall cut is no single task."""
+    cuts = F.array(*(F.struct(F.lit(n).alias("cut"), F.coalesce(v.cast("string"), F.lit("")).alias("name")) for n, v in (("group", F.col(group)), ("kind", F.col(kind)), ("all", F.lit("")))))
+    rows = df.withColumn("correct", (F.col("correct") == 1).cast("int") * F.col("valid").cast("int")).withColumn("__c", F.explode(cuts)).select("*", "__c.*").drop("__c")
+    k = ["cut", "name"]
+    out = rows.groupBy(*k).agg(
+        F.count("*").alias("n"), F.avg("correct").alias("accuracy"), F.avg("nll").alias("nll"), F.avg("brier").alias("brier"), F.avg(F.col("valid").cast("int")).alias("validity"),
+        F.avg(F.col("strict").cast("int")).alias("strict"), F.avg("tvd").alias("tvd"), F.avg("mae").alias("mae"),
+    )
+    for part in (ece(rows, k, 10).withColumnRenamed("ece", "ece10"), ece(rows, k, 15).withColumnRenamed("ece", "ece15"), selective(rows, k, "confidence", "correct", ties), auroc(rows, k, "p", "y")):
+        out = out.join(part, k, "left")
+    return out
+
+
+def judged_tasks(tasks: DataFrame, answers: DataFrame, keys: list[str], value: str, gold: str) -> DataFrame:
+    """Every task with its answer, if any; a task without one counts as attempted by none and wrong."""
+    j = tasks.join(answers.withColumn("__has", F.lit(True)), keys, "left")
+    return j.withColumns({"attempted": F.coalesce("__has", F.lit(False)), "correct": F.coalesce((F.col(value) == F.col(gold)).cast("int"), F.lit(0))}).drop("__has")
+
+
+def intelligence(accuracy: Column, chance: Column) -> Column:
+    """How much of the way from chance to certainty, 0 to 100."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * (accuracy - chance) / (1 - chance)))
+
+
+def pair_agreement(df: DataFrame, group: str, predicted: str, correct: str, valid: str) -> DataFrame:
+    """One row over the groups of exactly two: pairs, both_valid, agree, both_correct (of the valid ones), and their rates."""
+    two = df.where(F.col(group).isNotNull()).groupBy(group).agg(
+        F.count("*").alias("n"), F.min(F.col(valid).cast("int")).alias("ok"), F.min(predicted).alias("lo"), F.max(predicted).alias("hi"), F.min(F.col(correct).cast("int")).alias("right")
+    ).where("n = 2")
+    ok = F.col("ok") == 1
+    c = two.agg(F.count("*").alias("pairs"), F.count_if(ok).alias("both_valid"), F.count_if(ok & (F.col("lo") == F.col("hi"))).alias("agree"), F.count_if(ok & (F.col("right") == 1)).alias("both_correct"))
+    return c.withColumns({"agreement": F.try_divide("agree", "both_valid"), "both_correct_rate": F.try_divide("both_correct", "pairs")})
+
+
+def macro(df: DataFrame, measures: list[str]) -> DataFrame:
+    """Unweighted means of a grouped report's measures: each configuration counts once."""
+    return df.agg(F.count("*").alias("configs"), *(F.avg(m).alias(f"macro_{m}") for m in measures))
+
+
+__all__ = ["evaluation", "judged_tasks", "intelligence", "pair_agreement", "macro", "answer_metrics", "noul_metrics", "summary", "ece", "auroc", "selective", "total_variation", "stability"]

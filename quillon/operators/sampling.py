@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import group_number
@@ -61,3 +61,41 @@ def verify_records(records: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.groupBy("problem").agg(F.count("*").alias("n"))
+
+
+def unseen(train: DataFrame, dev: DataFrame, key: str) -> DataFrame:
+    """Rows of ``train`` whose key occurs in no row of ``dev``; a null key never does."""
+    return train.join(dev.select(key).distinct(), key, "left_anti")
+
+
+def label_counts(df: DataFrame, split: str, label: str, labels: list) -> DataFrame:
+    """One row per split, a count for each of the given labels."""
+    return df.groupBy(split).agg(*(F.count_if(F.col(label) == v).alias(f"label_{v}") for v in labels))
+
+
+MARKER = " [truncated]"
+#: What a text may be cut behind, and how many characters of it stay.
+ENDS = (". ", "? ", "! ", ".\n", "\n")
+
+
+def _last(text: Column, part: str) -> Column:
+    """0-based place of the last ``part``; -1 without one."""
+    at = F.instr(F.reverse(text), part[::-1])
+    return F.when(at > 0, F.length(text) - at - (len(part) - 1)).otherwise(F.lit(-1))
+
+
+def truncated(text: Column, limit: int) -> Column:
+    """The text, or as much of it as ends with a sentence (else a word, else anywhere) and has ``limit`` characters with the marker; null stays null."""
+    cut = F.substring(text, 1, limit - len(MARKER))
+    sentence = F.greatest(*(_last(cut, e) for e in ENDS))
+    word = _last(cut, " ")
+    end = F.when(sentence >= limit // 2, sentence).when(word >= limit // 2, word).otherwise(F.length(cut) - 1)
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(F.substring(cut, F.lit(1), end.cast("int") + 1), r"\s+$", ""), F.lit(MARKER)))
+
+
+def option_bucket(n: Column) -> Column:
+    return F.when(n <= 2, "2").when(n <= 4, "3-4").when(n <= 8, "5-8").when(n <= 16, "9-16").otherwise("17+")
+
+
+def length_bucket(n: Column) -> Column:
+    return F.when(n < 64, "<64").when(n < 256, "64-256").when(n < 1024, "256-1k").otherwise("1k+")
