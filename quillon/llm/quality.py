@@ -110,6 +110,8 @@ def evidence(docs: DataFrame, weights: np.ndarray, host: str = "source", path: s
         trim()
         return pd.Series(np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-4, 1 - 1e-4))
 
+    # Scored once a row: declared nondeterministic, as a filter on the score would else make the optimizer run it twice, in a second worker a task.
+    own = own.asNondeterministic()
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
     return docs.withColumns({"__p": own(F.coalesce(F.col("text").cast("string"), F.lit(""))), "__host": blank(host), "__path": blank(path)})
 

@@ -431,3 +431,13 @@ def test_quality_keeps_clean_texts(spark, nothing, docs):
     assert quality.classify(docs, known).count() == len(corpus())
     assert quality.keep_good(df, known).columns == df.columns
     assert quality.classify(nothing, known).count() == 0
+
+
+def test_quality_scores_each_row_once(spark):
+    rng = random.Random(8)
+    rows = [(i, sentence(rng, 30) + "." if i % 4 else "%%% " * 20, "en", f"s{i % 3}") for i in range(60)] + [(None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    known = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(60)], "doc_id long, quality int")
+    kept = quality.keep_good(df, known)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted(r["doc_id"] or -1 for r in quality.classify(df, known).where("kept").collect())
