@@ -162,3 +162,25 @@ def test_features_of_named_fields_pairs_and_windows(spark):
     for text, want in (("Returns within 30 days. Bought 20 days ago.", 1), ("Returns within 30 days. Bought 45 days ago.", -1), ("Bought 45 days ago.", 0), ("Today is 2026-03-10. Returns within 30 days. Bought on 2026-01-05.", -1)):
         f = rows({"text": text}, ask)
         assert (f["w", "true"]["window_ok"], f["w", "false"]["window_ok"]) == (want, 0)
+
+
+def test_sets_are_shipped_as_hashes_and_bands_run_in_numpy(spark):
+    from quillon.functions.kernels import sets as K
+
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "a b"), (4, "A, b!")], "doc_id long, text string")
+    members, sets = neardup.classes(docs)
+    assert {r["class_id"]: len(r["sh"]) for r in sets.collect()} == {1: 3, 3: 1} and sets.schema["sh"].dataType.elementType.typeName() == "long"
+    assert {r["doc_id"]: r["class_id"] for r in members.collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
+    x = K.shingled(range(9000), 5)
+    assert len(x) == 8996 and len(set(K.bands(x, 32, 4))) == 32 and list(K.bands(x[::-1], 32, 4)) == list(K.bands(x, 32, 4))
+
+
+def test_similar_sets_are_all_found_under_any_order(spark):
+    import random
+
+    rng = random.Random(5)
+    sets = [(i, sorted({f"s{rng.randrange(30)}" for _ in range(rng.randrange(1, 25))})) for i in range(120)]
+    for percent in (50, 66, 80):
+        got = {(r["a"], r["b"]): r["jaccard"] for r in neardup.similar_sets(spark.createDataFrame(sets, "class_id long, sh array<string>"), percent).collect()}
+        want = {(i, j): len(set(a) & set(b)) / len(set(a) | set(b)) for i, a in sets for j, b in sets if i < j and 100 * len(set(a) & set(b)) >= percent * len(set(a) | set(b))}
+        assert got == pytest.approx(want) and len(want) > 0
