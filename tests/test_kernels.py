@@ -127,3 +127,27 @@ def test_fits():
     assert a > 1 and abs(b) < 0.1 and learning.platt(np.zeros(3), np.zeros(3)) == (1.0, 0.0)
     fit = learning.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0, 1, 0, 1]))
     assert list(fit) == [0, 0.5, 0.5, 1]
+
+
+def test_flags_are_counted_without_token_rows():
+    from quillon.functions.kernels import scope
+    from quillon.operators import state
+
+    text = "Please don't go. It was not very good; see www.x.org, a.b@c.de or AB-12.\nCould it be 5 km? Dr. Who isn't in"
+    rows = state.tokens_of(text)
+    masks = [scope.NEGATED, scope.HYPOTHETICAL, scope.REQUEST, scope.CUE]
+    assert state.flag_counts(text, masks) == [len(rows), *(sum(1 for r in rows if r[5] & m) for m in masks)]
+
+
+def test_a_long_text_takes_time_in_proportion():
+    import time
+
+    from quillon.functions.kernels import scan
+
+    def took(n):
+        t = time.perf_counter()
+        scan.segments("ab. " * n + "word " * n)
+        return time.perf_counter() - t
+
+    took(1000)
+    assert took(80_000) < 10 * max(took(16_000), 0.01)
