@@ -25,6 +25,8 @@ BANDS, ROWS = 32, 4
 #: Pairs are verified in up to BUCKETS squared groups.
 BUCKETS = 128
 MIN_BYTES = 20
+#: Up to so many eval units are sent to all executors; beyond that, both sides are shuffled.
+SMALL = 20_000
 
 
 def tokens(text: Column) -> Column:
@@ -125,13 +127,19 @@ def scan(train: DataFrame, evals: DataFrame, percent: int = PERCENT, width: int
     Train units of at least MIN_BYTES normalised bytes count.  The reported containment is the share of the eval unit's shingles found in one train unit."""
     prep = lambda df: df.select("key", "text", normalized(F.col("text")).alias("norm")).where(F.octet_length("norm") >= MIN_BYTES)
     t, e = prep(train), prep(evals)
-    stage = lambda c: t.groupBy(F.sha2(c, 256).alias("h")).agg(F.count("*").alias("hits")).join(e.select(F.col("key"), F.sha2(c, 256).alias("h")), "h").select("key", "hits")
+    small = F.broadcast if evals.count() <= SMALL else lambda df: df
+
+    def stage(c: str) -> DataFrame:
+        own = e.select("key", F.sha2(c, 256).alias("h"))
+        mine = t.select(F.sha2(c, 256).alias("h")).join(small(own.select("h").distinct()), "h", "left_semi")
+        return mine.groupBy("h").agg(F.count("*").alias("hits")).join(own, "h").select("key", "hits")
+
     exact, norm = stage("text"), stage("norm")
     sh = lambda df: df.select("key", shingles(F.split("norm", " "), width).alias("sh"))
     te, ee = sh(t), sh(e)
     # the eval side is the small one: shingles of train that no eval unit has are dropped before they are shuffled
     own = ee.select(F.col("key").alias("b"), F.size("sh").alias("nb"), F.explode("sh").alias("s"))
-    hit = te.select(F.col("key").alias("a"), F.size("sh").alias("na"), F.explode("sh").alias("s")).join(own, "s")
+    hit = te.select(F.col("key").alias("a"), F.size("sh").alias("na"), F.explode("sh").alias("s")).join(small(own), "s")
     both = hit.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
     best = both.groupBy("b").agg(
         F.max(F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"),

@@ -184,3 +184,17 @@ def test_similar_sets_are_all_found_under_any_order(spark):
         got = {(r["a"], r["b"]): r["jaccard"] for r in neardup.similar_sets(spark.createDataFrame(sets, "class_id long, sh array<string>"), percent).collect()}
         want = {(i, j): len(set(a) & set(b)) / len(set(a) | set(b)) for i, a in sets for j, b in sets if i < j and 100 * len(set(a) & set(b)) >= percent * len(set(a) | set(b))}
         assert got == pytest.approx(want) and len(want) > 0
+
+
+def test_small_eval_sides_are_not_met_by_a_shuffle_of_the_corpus(spark):
+    t = spark.createDataFrame([(i, f"the same long enough text number {i}") for i in range(9)] + [(9, "The same long-enough text number 3")], "key long, text string")
+    e = spark.createDataFrame([(1, "the same long enough text number 3"), (2, "nothing of it occurs anywhere here")], "key long, text string")
+    big = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = neardup.scan(t, e)
+        got = {r["key"]: (r["verdict"], r["exact"], r["normalized"], r["near"]) for r in out.collect()}
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", big)
+    assert got == {1: ("exact", 1, 2, 2), 2: ("clean", 0, 0, 0)} and plan.count("rightHint=(strategy=broadcast)") >= 3
